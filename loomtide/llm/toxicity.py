@@ -11,6 +11,7 @@ scores all documents.  Only the text enters a score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import ahocorasick
@@ -21,29 +22,51 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample that the driver reads: rows of each class, and the characters read in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_500, 5_000, 60_000_000
-MAX_TERMS, SHORTEST, LONGEST, LEAST_Z = 64, 4, 9, 5.0
+MAX_TERMS, SHORTEST, LONGEST, LEAST_Z = 64, 4, 9, 8.0
 NEAR = 60  # characters between two terms that count as one outburst
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def distinct_rows(texts: list[str], least: int = 6) -> list[int]:
+    """Rows that are no near copies of a row before them: copies say nothing new about a term."""
+    holders: dict[int, list[int]] = {}
+    out = []
+    for i, text in enumerate(texts):
+        sketch = sorted(zlib.crc32(w.encode()) for w in set(_WORD.findall(text.lower())))[:16]
+        shared = Counter(k for h in sketch for k in holders.get(h, ()))
+        if any(n >= min(least, len(sketch)) for n in shared.values()):
+            continue
+        out.append(i)
+        for h in sketch:
+            holders.setdefault(h, []).append(i)
+    return out
+
+
 def mine_terms(texts: list[str], toxic: np.ndarray, limit: int = MAX_TERMS) -> list[str]:
-    """Word beginnings whose share of toxic rows stands out most; none is the beginning of another."""
-    seen = [Counter(), Counter()]
+    """Word beginnings whose share of toxic rows stands out most; none is the beginning of another.
+
+    A share is that of the rows that have the term, or of those that have it more than once.
+    """
+    seen = {(y, least): Counter() for y in (0, 1) for least in (1, 2)}
+    rows = [0, 0]
     for text, y in zip(texts, toxic.astype(int).tolist(), strict=True):
-        found = set()
-        for w in set(_WORD.findall(text.lower())):
-            found.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
-        seen[y].update(found)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    ranked = []
-    for term, a in seen[1].items():
-        if a < 3:
-            continue
-        p, q = a / n1, (seen[0][term] + 0.5) / n0
-        if p > 3 * q and (z := _z(p, q, n1, n0)) >= LEAST_Z:
-            ranked.append((-z, -len(term), term))
+        words = Counter(_WORD.findall(text.lower()))
+        rows[y] += 1
+        found: Counter = Counter()
+        for w, c in words.items():
+            for n in range(SHORTEST, min(len(w), LONGEST) + 1):
+                found[w[:n]] += c
+        seen[y, 1].update(found.keys())
+        seen[y, 2].update(t for t, c in found.items() if c > 1)
+    n0, n1 = (max(1, n) for n in rows)
+    ranked: dict[str, float] = {}
+    for least in (1, 2):
+        for term, a in seen[1, least].items():
+            p, q = a / n1, (seen[0, least][term] + 0.5) / n0
+            if a >= 3 and p > 3 * q and (z := _z(p, q, n1, n0)) >= LEAST_Z:
+                ranked[term] = max(z, ranked.get(term, 0.0))
     out: list[str] = []
-    for _, _, term in sorted(ranked):
+    for term in sorted(ranked, key=lambda t: (-ranked[t], -len(t), t)):
         if not any(term.startswith(t) or t.startswith(term) for t in out):
             out.append(term)
             if len(out) == limit:
@@ -159,7 +182,8 @@ class Scorer:
 
 def train(texts: list[str], toxic: list[int]) -> Scorer:
     """Fit voters, label model and classifier.  Without rows of both classes every score is 0."""
-    y = np.array(toxic, dtype=bool)
+    use = distinct_rows(texts)
+    texts, y = [texts[i] for i in use], np.array(toxic, dtype=bool)[use]
     if not y.any() or y.all():
         return Scorer([], None, None, None)
     terms = mine_terms(texts, y)
