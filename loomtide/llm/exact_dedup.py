@@ -93,7 +93,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     who = identities(docs, id_col, text_col, block_bytes, locator_bits)
     groups = who.groupBy("name").agg(F.max(F.struct("doc_id", (-F.col("rid")).alias("back"))).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    out = who.join(groups, "name")
+    # a written table, so that the join's sides are plain exchanges and a large group can be split
+    out = who.join(save(groups, "groups"), "name")
     return out.select(
         "doc_id",
         F.col("top.doc_id").alias("keep_id"),
