@@ -80,6 +80,18 @@ def by_source_number():
     return F.concat(F.lit("domain"), n.cast("string"))
 
 
+def _edge(rows: DataFrame, parts: int) -> DataFrame:
+    """(domain, lang, source, edge, before): the part in which the tokens of a leaf pass its rest, and the tokens before it.
+
+    ``parts`` bounds the sums of a leaf that one task sees.
+    """
+    hist = rows.groupBy(*LEVELS, "rest", "before", "part").agg(F.sum("tokens").alias("t"))
+    run = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(-parts, 0)
+    hist = hist.withColumn("through", F.col("before") + F.sum("t").over(run))
+    passed = hist.where("through > rest").groupBy(*LEVELS).agg(F.min("part").alias("edge"), F.min(F.col("through") - F.col("t")).alias("before"))
+    return passed
+
+
 def mixture(docs: DataFrame, domain=None, share: float = SHARE, domain_weights=None, lang_weights=None, source_weights=None, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
     """(doc_id, digest, domain, lang, source, tokens, copies): the selected rows and how often each occurs in the mixture.
 
@@ -107,14 +119,15 @@ def mixture(docs: DataFrame, domain=None, share: float = SHARE, domain_weights=N
     targets = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, whole long, rest long"))  # MAX_LEAVES rows at most
     keyed = rows.join(targets, list(LEVELS)).withColumn("order", F.xxhash64(F.lit(seed), F.col("whole"), F.col("digest")))
     keyed = keyed.withColumn("bucket", F.shiftrightunsigned("order", 64 - BITS))
-    leaf = Window.partitionBy(*LEVELS)
-    hist = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("tokens").alias("t"))
-    hist = hist.withColumn("through", F.sum("t").over(leaf.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))  # 2 ** BITS rows at most
-    edge = hist.where("through > rest").groupBy(*LEVELS).agg(F.min_by("bucket", "bucket").alias("edge"), F.min(F.col("through") - F.col("t")).alias("before"))
-    found = keyed.join(F.broadcast(edge), list(LEVELS), "left")
-    inside = found.where("bucket = edge")
+    # the bucket in which a leaf's rest ends: first by the leading half of the bits, then within that half
+    half = 1 << BITS // 2
+    coarse = _edge(keyed.withColumn("part", F.shiftright("bucket", BITS // 2)).withColumn("before", F.lit(0).cast("long")), half)
+    fine = keyed.withColumn("part", F.shiftright("bucket", BITS // 2)).join(F.broadcast(coarse), list(LEVELS)).where("part = edge")
+    fine = _edge(fine.withColumn("part", F.col("bucket")).drop("edge"), half).withColumnRenamed("edge", "last")
+    found = keyed.join(F.broadcast(coarse.select(*LEVELS, "edge")), list(LEVELS), "left").join(F.broadcast(fine.select(*LEVELS, "last", "before")), list(LEVELS), "left")
+    inside = found.where("bucket = last")
     nth = Window.partitionBy(*LEVELS).orderBy("order", "digest").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("run", F.sum("tokens").over(nth)).withColumn("extra", (F.col("before") + F.col("run") <= F.col("rest")).cast("long"))
-    clear = found.where("edge is null or bucket != edge").withColumn("extra", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(1)))
+    clear = found.where("last is null or bucket != last").withColumn("extra", F.coalesce((F.col("bucket") < F.col("last")).cast("long"), F.lit(1)))
     cols = ["doc_id", "digest", *LEVELS, "tokens", (F.col("whole") + F.col("extra")).alias("copies")]
     return clear.select(*cols).unionByName(inside.select(*cols)).where("copies > 0")
