@@ -17,7 +17,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
 
     Edges are written to the shared folder after each round, so that the plan
     stays short and a lost executor costs one round.  A node with many edges is
-    reduced by a partial minimum before the shuffle.  Null ends are ignored.
+    reduced by a partial minimum before the shuffle; minima are written too, so
+    that the joins read plain exchanges, whose large partitions can be split.  Null ends are ignored.
     """
     cur = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
     cur = save(cur.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "cc")
@@ -25,15 +26,16 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node hangs on the least of its neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both, "u", "v")
+        least = save(_least(both, "u", "v"), "cc")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v")
         large = large.where("u < v").distinct()
         # small star: a node and its smaller neighbours hang on the least of them
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = save(large, "cc")
+        low = save(large.groupBy("v").agg(F.min("u").alias("m")), "cc")
         small = large.join(low, "v")
         small = small.select(F.col("m").alias("u"), "v").unionByName(small.where("u != m").select(F.col("m").alias("u"), F.col("u").alias("v")))
         nxt = save(small.distinct(), "cc")
-        drop(cur)
+        drop(cur, least, large, low)
         cur = nxt
         state = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:

@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     tied = packed.groupBy("bucket").applyInArrow(_gather, "u long, v long")
     family = save(components(tied), "families")
 
-    heads = family.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    heads = save(family.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "heads")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     member = family.join(heads, "label").select("node", F.col("label").alias("family"), blocks.alias("blocks"))
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -309,8 +309,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     classes = sets.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(linked, "node", "left").join(degree, "node", "left")
     classes = classes.select("node", "low", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    classes = save(classes, "classes")
-    least = classes.groupBy("label").agg(F.min("low").alias("component"))
+    classes = save(classes, "classes")  # heads and minima are written, so that a large component's rows can be split
+    least = save(classes.groupBy("label").agg(F.min("low").alias("component")), "least")
     named = classes.join(least, "label").select("node", "component", "n_links")
     out = sets.select("doc_id", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
     drop(family)
