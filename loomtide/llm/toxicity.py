@@ -207,7 +207,7 @@ def train(texts: list[str], toxic: list[int]) -> Scorer:
     cuts = np.unique(np.quantile(z, np.linspace(0.5, 0.999, 400)))
     f1 = [2 * (y & (z >= c)).sum() / ((z >= c).sum() + y.sum()) for c in cuts]
     best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    w[-1] += np.log(0.7 / 0.3) - cuts[best[len(best) // 2]]
+    w[-1] += np.log(0.7 / 0.3) - cuts[best[len(best) // 4]]
     return Scorer(terms, centre, scale, w)
 
 
