@@ -9,6 +9,9 @@ Documents with equal shingle sets form one class; classes are joined.
   sets differ in at most k shingles, so of k + 1 pieces one is equal in both.
   A list of single shingles of a shared passage would hold every document that
   has the passage; a list of pieces holds documents that agree in a whole piece.
+  Pieces are taken over the shingles that aren't frequent (any subset of all
+  shingles keeps the bound k).  A set of which more than k pieces have shingles
+  lists only those; any other lists all its pieces over all shingles as well.
 * The boundary is the largest size whose subsets cost no more than its lists.
 
 A list's members are tied to its least member, first within a batch of
@@ -32,6 +35,8 @@ from loomtide.llm.shared import bounded, drop, save, shuffle_width
 U = np.uint64
 CLASS_RATIO = 1.4  # upper over lower size of a size class
 BLOCK = 512  # documents of a family that one verification block holds
+#: Shingles count as frequent from this many sets on, as counted in runs of so many shingles; at most so many are told to the tasks.
+FREQUENT, RUN, MAX_FREQUENT = 64, 4_000_000, 200_000
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -72,7 +77,19 @@ class Plan:
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, int(edges[-1] * CLASS_RATIO)))
         self.edges = np.array(edges, dtype=np.int64)
-        self.pieces = (self.edges[1:] - 1) * (den - num) // num + 1
+        #: Most shingles in which two linking sets of a class differ, and the pieces: so many that more than k have shingles in most sets.
+        self.k = (self.edges[1:] - 1) * (den - num) // num
+        self.pieces = np.array([self._pieces(int(low), int(k)) for low, k in zip(self.edges, self.k, strict=False)], dtype=np.int64)
+
+    @staticmethod
+    def _pieces(low: int, k: int) -> int:
+        m = k + 1
+        while m < 2 * (k + 1):
+            empty = m * math.exp(-low / m)
+            if m - empty - 2 * math.sqrt(empty) >= k + 1:
+                break
+            m += 1 + m // 50
+        return m
 
     def groups(self, sizes: np.ndarray):
         """(rows, group) for each group of sizes that the rows belong to: their own, and smaller ones that reach up to them."""
@@ -102,10 +119,17 @@ def set_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, tn.mix(total + sizes.astype(U) * U(0x9E3779B97F4A7C15)) | U(1), U(0))
 
 
-def list_keys(tokens: np.ndarray, sizes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of every inverted list that each set belongs to."""
+def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
+def list_keys(tokens: np.ndarray, sizes: np.ndarray, plan: Plan, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of every inverted list that each set belongs to.  ``frequent``: sorted hashes of frequent shingles."""
     first = np.cumsum(sizes) - sizes
     marks = tn.mix(tokens + U(0x51ED270B7F651A2D))
+    rare = ~_among(tokens, np.zeros(0, U) if frequent is None else frequent)
     keys, rows_out = [], []
     light = np.flatnonzero((sizes > 0) & (sizes <= plan.light))
     if len(light):
@@ -122,15 +146,23 @@ def list_keys(tokens: np.ndarray, sizes: np.ndarray, plan: Plan) -> tuple[np.nda
         keys.append(tn.mix(np.repeat(own, n)[each] - marks[at][each] + (np.repeat(n, n)[each] - 1).astype(U) * U(0xC2B2AE3D27D4EB4F)))
         rows_out.append(np.repeat(light, n)[each])
     for rows, group in plan.groups(np.where(sizes >= plan.edges[0], sizes, 0)):
-        n, m = sizes[rows], plan.pieces[group]
+        n, m, k = sizes[rows], plan.pieces[group], plan.k[group]
+        total = int(m.sum())
         base = np.cumsum(m) - m
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[rows], n)
-        tok = tokens[at]
-        piece = ((tn.mix(tok ^ U(0x2545F4914F6CDD1D)) >> U(32)) * np.repeat(m, n).astype(U)) >> U(32)
-        total = tn.sums(marks[at], piece.astype(np.int64) + np.repeat(base, n), int(m.sum()))
-        number = (np.arange(int(m.sum())) - np.repeat(base, m)).astype(U)
-        keys.append(tn.mix(total ^ tn.mix(number + (np.repeat(group, m).astype(U) << U(40)) + U(1 << 63))))
-        rows_out.append(np.repeat(rows, m))
+        piece = ((tn.mix(tokens[at] ^ U(0x2545F4914F6CDD1D)) >> U(32)) * np.repeat(m, n).astype(U)) >> U(32)
+        piece = piece.astype(np.int64) + np.repeat(base, n)
+        owner = np.repeat(np.arange(len(rows)), m)
+        number = tn.mix((np.arange(total) - np.repeat(base, m)).astype(U) + (np.repeat(group, m).astype(U) << U(40)))
+        ask = np.ones(len(rows), bool)
+        for tag, use in ((1, rare[at]), (2, np.ones(len(at), bool))):
+            filled = np.bincount(piece[use], minlength=total) > 0
+            enough = np.bincount(owner[filled], minlength=len(rows)) > k
+            # over all shingles, a set with too few filled pieces lists its empty ones too
+            out = ask[owner] & (filled if tag == 1 else filled | ~enough[owner])
+            keys.append(tn.mix((tn.sums(marks[at][use], piece[use], total) ^ number) + U(tag))[out])
+            rows_out.append(rows[owner[out]])
+            ask = ask & ~enough
     if not keys:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(rows_out)
@@ -147,18 +179,42 @@ def ties(keys: np.ndarray, nodes: np.ndarray):
     return keys[start], least, spread[other], nodes[other], np.searchsorted(start, np.flatnonzero(other), side="right") - 1
 
 
-def _read(plan: Plan, width: int, buckets: int | None):
-    """Over batches of (doc_id, text): the set id and size of each row, or the packed lists by bucket."""
+def _count(run: list[np.ndarray], least: int = 8) -> pa.RecordBatch:
+    """The shingles of a run that occur in several of its sets, as rows that stand for no document."""
+    tok, c = np.unique(np.concatenate(run), return_counts=True)
+    tok, c = tok[c >= least], c[c >= least]
+    none = pa.nulls(len(tok), pa.int64())
+    return pa.record_batch([none, none, pa.array(c.astype(np.int64)), pa.array(tok.view(np.int64)), pa.array(np.ones(len(tok), bool))], _SETS)
+
+
+_SETS = ["doc_id", "digest", "size", "node", "frequent"]
+
+
+def _read(width: int):
+    """Over batches of (doc_id, digest, text): set id and size of each row, and counts of frequent shingles."""
 
     def rows(batches):
+        run, held = [], 0
         for b in batches:
-            ids, sizes = [], []
-            for _, _, data, off in tn.chunks(b.column(b.schema.get_field_index("text"))):
+            for at, rows_in, data, off in tn.chunks(b.column(2)):
                 tok, n = tn.shingles(*tn.words(data, off), width)
-                ids.append(set_ids(tok, n))
-                sizes.append(n)
-            if ids:
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ids).view(np.int64))], ["doc_id", "digest", "size", "node"])
+                ids = set_ids(tok, n)
+                seen = np.zeros(len(n), bool)
+                seen[np.unique(ids, return_index=True)[1]] = True
+                run.append(tok[np.repeat(seen, n)])
+                held += len(run[-1])
+                yield pa.record_batch([b.column(0).slice(at, rows_in), b.column(1).slice(at, rows_in), pa.array(n), pa.array(ids.view(np.int64)), pa.array(np.zeros(len(n), bool))], _SETS)
+                if held >= RUN:
+                    yield _count(run)
+                    run, held = [], 0
+        if run:
+            yield _count(run)
+
+    return rows
+
+
+def _lists(plan: Plan, width: int, buckets: int, frequent):
+    """Over batches of (text): each batch's lists, packed by bucket of the key."""
 
     def lists(batches):
         for b in batches:
@@ -169,7 +225,7 @@ def _read(plan: Plan, width: int, buckets: int | None):
                 seen = np.zeros(len(n), bool)
                 seen[np.unique(ids, return_index=True)[1]] = True
                 keep = np.repeat(seen, n)
-                k, r = list_keys(tok[keep], np.where(seen, n, 0), plan)
+                k, r = list_keys(tok[keep], np.where(seen, n, 0), plan, frequent.value)
                 keys.append(k)
                 nodes.append(ids[r])
             if not keys:
@@ -188,7 +244,7 @@ def _read(plan: Plan, width: int, buckets: int | None):
                     out[name].append(val)
             yield pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "nodes", "u", "v"))], ["bucket", "keys", "nodes", "u", "v"])
 
-    return rows if buckets is None else lists
+    return lists
 
 
 def _gather(table: pa.Table) -> pa.Table:
@@ -273,9 +329,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     plan = Plan(num, den)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text_col)).alias("digest"), text)
-    sets = save(base.mapInArrow(_read(plan, width, None), "doc_id long, digest long, size long, node long"), "sets")
+    read = save(base.mapInArrow(_read(width), "doc_id long, digest long, size long, node long, frequent boolean"), "sets")
+    sets = read.where("not frequent").drop("frequent")
+    counts = read.where("frequent").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= FREQUENT)
+    told = counts.orderBy(F.desc("n"), "node").limit(MAX_FREQUENT).select("node").toPandas()["node"].to_numpy()
+    frequent = spark.sparkContext.broadcast(np.sort(told.astype(np.int64).view(U)))
 
-    packed = base.select("text").mapInArrow(_read(plan, width, 4 * shuffle_width(spark)), "bucket int, keys binary, nodes binary, u binary, v binary")
+    packed = base.select("text").mapInArrow(_lists(plan, width, 4 * shuffle_width(spark), frequent), "bucket int, keys binary, nodes binary, u binary, v binary")
     tied = packed.groupBy("bucket").applyInArrow(_gather, "u long, v long")
     family = save(components(tied), "families")
 
