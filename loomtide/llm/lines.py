@@ -110,6 +110,7 @@ def remove_repeats(docs: DataFrame, unit: str = "line", window: int = 1, min_wor
     base = docs.select(doc, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), text)
     found = save(base.mapInArrow(_occurrences(unit, window, min_words), _UNITS), "units")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "digest")).alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    first = save(first, "first")  # written, so that the occurrences of a common unit can be split in the join
     here = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("place") == F.col("head.place")) & (F.col("digest") == F.col("head.digest"))
     later = found.join(first, ["h1", "h2"]).where(~here).select("digest", "place", "first", "end").distinct()
     spans = later.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("first", "end")).alias("spans"))  # of one document
