@@ -21,6 +21,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.llm.shared import small_batches
+
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, FFT, BANDS, WINDOW = 200, 80, 256, 26, 32
 OPEN_DB, CLOSE_DB = 0.5, -0.5  # against the mean frame energy
@@ -181,5 +183,6 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols = list(zip(*rows, strict=True))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds[: len(cols)], strict=True)], names[: len(cols)])
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(run, _COLUMNS + (", media binary, tensors binary" if with_media else ""))

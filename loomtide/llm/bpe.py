@@ -19,7 +19,9 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 300_000
+from loomtide.llm.shared import small_batches
+
+CACHE_WORDS = 80_000
 CHUNK = 256  # documents whose new pre-tokens are encoded in one call
 
 
@@ -156,5 +158,6 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

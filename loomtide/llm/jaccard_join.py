@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from loomtide.llm import textnum as tn
 from loomtide.llm.components import components
-from loomtide.llm.shared import bounded, drop, save, shuffle_width
+from loomtide.llm.shared import bounded, drop, save, shuffle_width, small_batches
 
 U = np.uint64
 CLASS_RATIO = 1.4  # upper over lower size of a size class
-BLOCK = 512  # documents of a family that one verification block holds
+BLOCK = 256  # documents of a family that one verification block holds
 #: Shingles count as frequent from this many sets on, as counted in runs of so many shingles; at most so many are told to the tasks.
-FREQUENT, RUN, MAX_FREQUENT = 64, 4_000_000, 200_000
+FREQUENT, RUN, MAX_FREQUENT = 64, 2_000_000, 200_000
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -326,6 +326,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     Shingles and sets are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     plan = Plan(num, den)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text_col)).alias("digest"), text)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import save
+from loomtide.llm.shared import save, small_batches
 
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 _UNITS = "doc_id long, digest long, place int, first int, end int, h1 long, h2 long"
@@ -105,6 +105,7 @@ def remove_repeats(docs: DataFrame, unit: str = "line", window: int = 1, min_wor
     repeats.  Rows that repeat both doc_id and text count as one occurrence and
     are cut alike.  An empty table gives no rows.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     doc = F.col(id_col).cast("long").alias("doc_id")
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(doc, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), text)

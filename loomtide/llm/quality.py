@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import bounded, save, shuffle_width
+from loomtide.llm.shared import bounded, save, shuffle_width, small_batches
 from loomtide.llm.textnum import chunks
 
 PLAIN, FOLDED, START, CLASSES = 896, 127, 1023, 1024
 SHARDS = 8  # by the character before the predicted one
 QUANTILE, MARGIN = 0.985, 1.15
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def classes(text: bytes) -> np.ndarray:
@@ -184,6 +184,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     lang = F.coalesce(F.col("lang"), F.lit("und")).alias("lang")
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     base = docs.select(lang, text, F.xxhash64("doc_id", "text").alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))

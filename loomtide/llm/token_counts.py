@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm.bpe import byte_chars
+from loomtide.llm.shared import small_batches
 
 END = "\n"  # ends a word; no byte character is a line feed
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 WORDS = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -123,5 +124,6 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     counts.clear()
             yield pa.record_batch([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(run, "doc_id long, n_words long, n_tokens long")

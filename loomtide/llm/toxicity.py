@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.llm.shared import small_batches
+
 #: Bound of the labelled sample that the driver reads: rows of each class, and the characters read in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_500, 5_000, 60_000_000
 MAX_TERMS, SHORTEST, LONGEST, LEAST_Z = 64, 4, 9, 8.0
@@ -242,6 +244,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     equal scores.  Without labelled rows of both classes all scores are 0.  An
     empty table gives no rows.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels)
     scorer = train([t for _, t, _ in sample], [y for _, _, y in sample])
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # MAX_TERMS terms and weights
