@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import small_batches
+from loomtide.llm.shared import small_batches, tidied
 
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, FFT, BANDS, WINDOW = 200, 80, 256, 26, 32
@@ -185,4 +185,4 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.mapInArrow(run, _COLUMNS + (", media binary, tensors binary" if with_media else ""))
+    return base.mapInArrow(tidied(run), _COLUMNS + (", media binary, tensors binary" if with_media else ""))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomtide.llm import textnum as tn
 from loomtide.llm.components import components
-from loomtide.llm.shared import bounded, drop, save, shuffle_width, small_batches
+from loomtide.llm.shared import bounded, drop, save, shuffle_width, small_batches, tidied
 
 U = np.uint64
 CLASS_RATIO = 1.4  # upper over lower size of a size class
@@ -330,13 +330,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     plan = Plan(num, den)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text_col)).alias("digest"), text)
-    read = save(base.mapInArrow(_read(width), "doc_id long, digest long, size long, node long, frequent boolean"), "sets")
+    read = save(base.mapInArrow(tidied(_read(width)), "doc_id long, digest long, size long, node long, frequent boolean"), "sets")
     sets = read.where("not frequent").drop("frequent")
     counts = read.where("frequent").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= FREQUENT)
     told = counts.orderBy(F.desc("n"), "node").limit(MAX_FREQUENT).select("node").toPandas()["node"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(told.astype(np.int64).view(U)))
 
-    packed = base.select("text").mapInArrow(_lists(plan, width, 4 * shuffle_width(spark), frequent), "bucket int, keys binary, nodes binary, u binary, v binary")
+    packed = base.select("text").mapInArrow(tidied(_lists(plan, width, 4 * shuffle_width(spark), frequent)), "bucket int, keys binary, nodes binary, u binary, v binary")
     tied = packed.groupBy("bucket").applyInArrow(_gather, "u long, v long")
     family = save(components(tied), "families")
 
@@ -360,7 +360,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 part = [tok[z - s : z].tobytes() for z, s in zip(stop, size, strict=True)]
                 yield pa.record_batch([*(b.column(i).slice(at, n) for i in range(5)), pa.array(part, pa.binary())], ["node", "copies", "family", "block", "blocks", "tokens"])
 
-    sent = texts.mapInArrow(tokens, "node long, copies long, family long, block int, blocks int, tokens binary")
+    sent = texts.mapInArrow(tidied(tokens), "node long, copies long, family long, block int, blocks int, tokens binary")
     sent = sent.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select("family", F.least("block", "mate").alias("bi"), F.greatest("block", "mate").alias("bj"), "node", "copies", "block", "tokens")
     found = save(sent.groupBy("family", "bi", "bj").applyInArrow(_verifier(num, den), "node long, label long, links long"), "links")

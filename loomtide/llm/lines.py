@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import save, small_batches
+from loomtide.llm.shared import save, small_batches, tidied
 
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 _UNITS = "doc_id long, digest long, place int, first int, end int, h1 long, h2 long"
@@ -109,11 +109,11 @@ def remove_repeats(docs: DataFrame, unit: str = "line", window: int = 1, min_wor
     doc = F.col(id_col).cast("long").alias("doc_id")
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(doc, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), text)
-    found = save(base.mapInArrow(_occurrences(unit, window, min_words), _UNITS), "units")
+    found = save(base.mapInArrow(tidied(_occurrences(unit, window, min_words)), _UNITS), "units")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place", "digest")).alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1")
     first = save(first, "first")  # written, so that the occurrences of a common unit can be split in the join
     here = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("place") == F.col("head.place")) & (F.col("digest") == F.col("head.digest"))
     later = found.join(first, ["h1", "h2"]).where(~here).select("digest", "place", "first", "end").distinct()
     spans = later.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("first", "end")).alias("spans"))  # of one document
     out = base.join(spans, "digest", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "text", "spans")
-    return out.mapInArrow(_without, "doc_id long, n_repeats long, n_spans long, removed_chars long, spans array<struct<first:int,end:int>>, text string")
+    return out.mapInArrow(tidied(_without), "doc_id long, n_repeats long, n_spans long, removed_chars long, spans array<struct<first:int,end:int>>, text string")

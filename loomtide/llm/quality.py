@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import bounded, save, shuffle_width, small_batches
+from loomtide.llm.shared import bounded, save, shuffle_width, small_batches, tidied
 from loomtide.llm.textnum import chunks
 
 PLAIN, FOLDED, START, CLASSES = 896, 127, 1023, 1024
@@ -77,7 +77,7 @@ def _discounts(counts: DataFrame, name: str) -> DataFrame:
 
 def model_shards(trusted: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(lang, shard, tri, uni, d3, d2): the count shards of each language's model.  ``trusted`` has columns lang, text."""
-    c3 = trusted.select("lang", "text").mapInArrow(_count, "lang string, key int, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    c3 = trusted.select("lang", "text").mapInArrow(tidied(_count), "lang string, key int, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
     c3 = save(c3.withColumn("shard", F.shiftright("key", 10).bitwiseAND(1023) % shards), "ngrams")
     c2 = c3.groupBy("lang", F.col("key").bitwiseAND((1 << 20) - 1).alias("pair")).agg(F.count(F.lit(1)).alias("c"))
     c1 = c2.groupBy("lang", F.col("pair").bitwiseAND(1023).alias("e")).agg(F.count(F.lit(1)).alias("c"))
@@ -192,7 +192,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     trusted = base.join(bounded(good), "doc_id", "left_semi")
     model = model_shards(trusted, shards)
     salts = shuffle_width(spark)
-    asked = base.select("lang", "text", "digest").mapInArrow(_asker(shards, salts), "lang string, shard int, salt int, ids binary, grams binary, runs binary, docs binary, n binary")
+    asked = base.select("lang", "text", "digest").mapInArrow(tidied(_asker(shards, salts)), "lang string, shard int, salt int, ids binary, grams binary, runs binary, docs binary, n binary")
     copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("lang", "shard", "salt", "tri", "uni", "d3", "d2", "d1")
     key = ["lang", "shard", "salt"]
     parts = asked.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_answer, "digest long, logp double, n long")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm.bpe import byte_chars
-from loomtide.llm.shared import small_batches
+from loomtide.llm.shared import small_batches, tidied
 
 END = "\n"  # ends a word; no byte character is a line feed
 CACHE_WORDS = 100_000
@@ -126,4 +126,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return base.mapInArrow(tidied(run), "doc_id long, n_words long, n_tokens long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import small_batches
+from loomtide.llm.shared import small_batches, tidied
 
 #: Bound of the labelled sample that the driver reads: rows of each class, and the characters read in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_500, 5_000, 60_000_000
@@ -257,4 +257,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_test_fold(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return base.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
