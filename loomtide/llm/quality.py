@@ -66,10 +66,10 @@ def _discounts(counts: DataFrame, name: str) -> DataFrame:
     """The three discounts of modified Kneser-Ney for one order, by language."""
     n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     got = counts.groupBy("lang").agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
     def part(i):
-        d = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        d = F.lit(float(i)) - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.least(F.greatest(F.coalesce(d, F.lit(0.5 + 0.25 * i)), F.lit(0.05)), F.lit(i - 0.05))
 
     return got.select("lang", F.array(part(1), part(2), part(3)).alias(name))
