@@ -38,7 +38,7 @@ class _Reader(HTMLParser):
 def readable(html: str | None) -> str:
     """Text of the article if there is one, else of the body, without scripts, menus and footers."""
     reader = _Reader()
-    reader.feed((html or "")[:5_000_000])
+    reader.feed(html or "")
     reader.close()
     lines = (" ".join(x.split()) for x in "".join(reader.main or reader.parts).split("\n"))
     return "\n".join(x for x in lines if x)

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.operators.shared import cut
 
-def groups(edges: DataFrame, checkpoint_dir: str | None = None, max_rounds: int = 64) -> DataFrame:
-    """(node, merge_group): the smallest node reachable.  Lineage is cut by checkpoint() in the session's folder."""
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or checkpoint_dir or "/tmp/checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")).checkpoint()
-    for _ in range(max_rounds):
+
+def groups(edges: DataFrame) -> DataFrame:
+    """(node, merge_group): the smallest node reachable.
+
+    A round takes the least label among the neighbours, then the label of that
+    label, so that long chains need few rounds; it ends when no label moves.
+    """
+    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
+    while True:
         near = both.join(label.select(F.col("u").alias("v"), F.col("l").alias("m")), "v").groupBy("u").agg(F.min("m").alias("m"))
-        nxt = label.join(near, "u").select("u", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved")).checkpoint()
-        label = nxt.drop("moved")
-        if nxt.where("moved").isEmpty():
-            break
-    return label.select(F.col("u").alias("node"), F.col("l").alias("merge_group"))
+        low = cut(label.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "m").alias("l")))
+        jump = low.select(F.col("u").alias("l"), F.col("l").alias("far"))
+        label = cut(low.join(jump, "l").select("u", "was", F.least("l", "far").alias("l")))
+        if label.where("l < was").isEmpty():
+            return label.select(F.col("u").alias("node"), F.col("l").alias("merge_group"))
+        label = label.drop("was")

@@ -15,8 +15,8 @@ WORDS = {
 
 
 def detect(docs: DataFrame, key: str, least: int = 2) -> DataFrame:
-    """(key, language): the language most of whose common words occur in the text's first part, null below ``least``."""
-    words = F.transform(F.array_distinct(F.split(F.lower(F.left("text", F.lit(4000))), r"[^\p{IsAlphabetic}]+")), lambda w: w)
+    """(key, language): the language most of whose common words occur in the text, null below ``least``."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{IsAlphabetic}]+"))
     hits = [F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, ws)))).alias("n"), F.lit(lang).alias("lang")) for lang, ws in WORDS.items()]
     best = F.array_max(F.array(*hits))
     return docs.select(key, F.when(best["n"] >= least, best["lang"]).alias("language"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtide.functions import html as H
 from loomtide.functions import vectors as V
+from loomtide.operators.clusters import two_groups
 from loomtide.operators.hierarchy import count_tree
 from loomtide.operators.languages import detect
 from loomtide.plans.registry import registry
@@ -150,37 +149,17 @@ def centroid_assign(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
     sums = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("m"))
     centre = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    centre = F.broadcast(centre.select("label", V.normalized(F.col("c")).alias("c")).limit(1000))  # one row a group
-    scored = v.select("vec_id", "embedding").join(centre).select("vec_id", "label", F.round(V.dot(F.col("embedding"), F.col("c")), 9).alias("s"))
-    return scored.groupBy("vec_id").agg(F.max_by("label", "s").alias("nearest"))
+    centre = centre.select((-1 - F.col("label")).alias("id"), V.normalized(F.col("c")).alias("vector"))  # ids that no vector has
+    scored = V.similar(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), centre, top=1)
+    best = scored.groupBy("left_id").agg(F.max_by("right_id", F.struct("similarity", "right_id")).alias("right_id"))
+    return best.select(F.col("left_id").alias("vec_id"), (-1 - F.col("right_id")).cast("int").alias("nearest"))
 
 
 @query()
 def two_means(spark, sf_dir):
     """Two groups of the vectors of each label; labels by strict comparison, ties to the first group."""
-
-    def split(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("vec_id").to_numpy())
-        ids = t.column("vec_id").to_numpy()[order]
-        x = np.stack([np.asarray(t.column("embedding")[int(i)].as_py(), float) for i in order])
-        group = two_groups(x)
-        return pa.table({"label": pa.array(t.column("label").to_numpy()[order], pa.int32()), "vec_id": ids, "part": pa.array(group, pa.int32())})
-
-    return read(spark, sf_dir, "embeddings").groupBy("label").applyInArrow(split, "label int, vec_id long, part int")
-
-
-def two_groups(x: np.ndarray) -> np.ndarray:
-    """0 or 1 for each unit vector; seeds are the first vector and the one least like it."""
-    if len(x) < 3:
-        return np.arange(len(x))
-    centres = [x[0], x[int(np.argmin(x @ x[0]))]]
-    for _ in range(10):
-        part = (x @ centres[1] > x @ centres[0]).astype(int)
-        if part.all() or not part.any():
-            return np.zeros(len(x), int)
-        sums = [x[part == k].sum(0) for k in (0, 1)]
-        centres = [s / max(np.linalg.norm(s), 1e-6) for s in sums]
-    return part
+    v = read(spark, sf_dir, "embeddings").select(F.col("label").alias("tag"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return two_groups(v).select(F.col("tag").alias("label"), F.col("id").alias("vec_id"), F.col("part"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY doc_id")
