@@ -27,10 +27,10 @@ TABLES = {
     "embeddings": "kind string, ref_id long, model string, vector array<float>",
     "runs": "id long, started_at timestamp, finished_at timestamp, report string",
     "revisions": "id long, created_at timestamp, status string, changes string, undo string, decision_keys array<string>",
+    "moves": "revision long, step long, page_id long, raw_tag string, from_id long, to_id long",
     "tag_decisions": "key string, decision string, source string, created_at timestamp",
 }
 
-KEYS = {"pages": ["url"], "tags": ["name"], "page_tags": ["page_id", "raw_tag"], "tag_aliases": ["alias"], "embeddings": ["kind", "ref_id", "model"], "runs": ["id"], "revisions": ["id"], "tag_decisions": ["key"]}
 STATUSES = ["pending", "done", "failed", "unreachable"]
 
 
