@@ -226,3 +226,23 @@ def split_apply(spark, sf_dir):
     big = tables.tag_counts(spark, sf_dir).orderBy(F.desc("pages"), "name").limit(1).select("name", F.lit(True).alias("big"))
     part = F.concat("name", F.when(F.col("page_id") % 2 == 0, "-even").otherwise("-odd"))
     return tables.page_tags(spark, sf_dir).join(F.broadcast(big), "name", "left").select("page_id", F.when(F.col("big"), part).otherwise(F.col("name")).alias("tag")).distinct()
+
+
+@query(f"""{WITH}, l AS (SELECT DISTINCT page_id, name FROM page_tags WHERE status = 'done'), c AS (SELECT name, count(*) AS n FROM l GROUP BY name)
+    SELECT CAST(count(*) AS BIGINT) AS tags, CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS used_once, CAST(sum(n) AS BIGINT) AS links FROM c""")
+def reuse_metrics(spark, sf_dir):
+    """How many tags done pages have, how many of them stand on one page only, and the links in all."""
+    n = F.col("pages")
+    return topic_tags(spark, sf_dir).agg(F.count(F.lit(1)).alias("tags"), F.count_if(n == 1).alias("used_once"), F.sum(n).alias("links"))
+
+
+@query(f"""{WITH}, l AS (SELECT DISTINCT page_id, name FROM page_tags WHERE status = 'done'),
+    r AS (SELECT name, page_id, row_number() OVER (PARTITION BY name ORDER BY page_id) AS n, count(*) OVER (PARTITION BY name) AS pages FROM l)
+    SELECT name || ' (' || CAST(any_value(pages) AS VARCHAR) || CASE WHEN any_value(pages) = 1 THEN ' page' ELSE ' pages' END || ', e.g. ' || string_agg(CAST(page_id AS VARCHAR), ', ' ORDER BY page_id) || ')' AS about FROM r WHERE n <= 2 GROUP BY name""")
+def tag_examples(spark, sf_dir):
+    """A tag with its number of pages and the first two of them."""
+    links = tables.page_tags(spark, sf_dir).where("status = 'done'").select("page_id", "name").distinct()
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("page_id"))
+    first = links.withColumn("n", nth).where("n <= 2").groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("page_id")).cast("array<string>"), ", ").alias("eg"))
+    rows = first.join(links.groupBy("name").agg(F.count(F.lit(1)).alias("pages")), "name")
+    return rows.select(F.concat("name", F.lit(" ("), T.noun(F.col("pages"), "page", "pages"), F.lit(", e.g. "), "eg", F.lit(")")).alias("about"))
