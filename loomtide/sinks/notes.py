@@ -119,10 +119,7 @@ def tag_table(tree: DataFrame) -> DataFrame:
 
 
 def index_lines(pages: DataFrame) -> DataFrame:
-    """(section, text) of (id, section, title, note_file): each section's block, pages by lower-case title, then id.
-
-    A block is text of one section; the sections' order is for the writer (by name, ``Untagged`` last).
-    """
+    """(section, k, id, line) of (id, section, title, note_file), in order: sections by name, ``Untagged`` last; pages by lower-case title, then id."""
     link = F.concat(F.lit("- ["), T.link_text(F.col("title")), F.lit("](notes/"), F.replace(F.col("note_file"), F.lit(" "), F.lit("%20")), F.lit(")"))
     return pages.select("section", F.lower("title").alias("k"), "id", link.alias("line")).orderBy(F.col("section") == "Untagged", "section", "k", "id")
 

@@ -54,3 +54,9 @@ def test_report(spark, tmp_path):
     assert "- <http://www.g/3>: not found" in RP.markdown(r, [tuple(x)[:1] + (x["error_kind"], x["error"]) for x in s.failed_pages().collect()])
     assert RP.estimate(None) == (2750.0, 250.0) and RP.estimate(r) == (1234.5, 2000.0)
     assert RP.cost({"input_tokens": 1_000_000}, (2.0, 3.0)) == 2.0 and RP.cost({}, None) is None
+
+
+def test_index_lines(spark):
+    rows = [(1, "Untagged", "z", "z.md"), (2, "b", "B [x]", "b x.md"), (3, "b", "a", "a.md"), (4, "z", "c", "c.md")]
+    out = N.index_lines(spark.createDataFrame(rows, "id long, section string, title string, note_file string")).collect()
+    assert [(r["section"], r["line"]) for r in out] == [("b", "- [a](notes/a.md)"), ("b", "- [B \\[x\\]](notes/b%20x.md)"), ("z", "- [c](notes/c.md)"), ("Untagged", "- [z](notes/z.md)")]
