@@ -12,7 +12,7 @@ def _least(edges: DataFrame, key: str, other: str) -> DataFrame:
     return edges.groupBy(key).agg(F.least(F.min(other), F.first(key)).alias("m"))
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, label) for every node that occurs in an edge; label is the component's smallest node.
 
     Edges are written to the shared folder after each round, so that the plan
@@ -23,7 +23,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     cur = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
     cur = save(cur.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of a node hangs on the least of its neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = save(_least(both, "u", "v"), "cc")
