@@ -219,20 +219,29 @@ def in_test_fold(doc_id):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> list:
-    """Bounded training rows (text, toxic), taken in the order of a digest of doc_id."""
+    """Bounded training rows (doc_id, text, toxic), taken in the order of a digest of doc_id.
+
+    Texts are whole; one that would pass SAMPLE_CHARS is left out of the sample.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_test_fold(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     order = F.crc32(F.concat(F.lit("sample"), F.col("doc_id").cast("string")).cast("binary"))
     parts = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    picked = F.broadcast(parts[0].unionByName(parts[1]))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(picked, "doc_id")
-    out, chars = [], 0
-    for r in rows.select("doc_id", F.substring("text", 1, 200_000).alias("text"), "toxic").toLocalIterator():
-        chars += len(r.text)
-        if chars > SAMPLE_CHARS:
-            break
-        out.append((r.doc_id, r.text, r.toxic))
-    return sorted(out)
+    picked = parts[0].unionByName(parts[1]).withColumn("turn", order)  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    sizes = rows.select("doc_id", F.struct(F.length("text").alias("chars"), "digest").alias("least")).join(F.broadcast(picked), "doc_id")
+    sizes = sizes.groupBy("turn", "doc_id", "toxic").agg(F.min("least").alias("least"))  # rows that repeat a doc_id give one
+    use, chars = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: (r.turn, r.doc_id, r.toxic)):
+        if chars + r.least.chars <= SAMPLE_CHARS:
+            chars += r.least.chars
+            use.append((r.doc_id, r.least.digest, r.toxic))
+    if not use:
+        return []
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(use, "doc_id long, digest long, toxic int"))  # as many at most
+    got = rows.join(chosen, ["doc_id", "digest"]).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return sorted((r.doc_id, r.text, r.toxic) for r in got.toLocalIterator())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
