@@ -15,7 +15,7 @@ from loomtide.llm.exact_dedup import exact_dedup
 from loomtide.llm.jaccard_join import jaccard_components
 from loomtide.llm.mixing import mixture
 from loomtide.llm.quality import quality_scores
-from loomtide.llm.shared import bounded, documents, save
+from loomtide.llm.shared import bounded, documents, lower_ascii, save
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,10 +31,29 @@ def quality(spark, docs, sf_dir):
     return _with_digest(docs).join(bounded(rejected), "digest", "left_anti").select(*COLUMNS)
 
 
+def _named(doc, sha):
+    """The key of a row in the exact stage: its doc_id, and a digest of it and of the digest of its text."""
+    return F.coalesce(doc, F.lit(0)).alias("k"), F.xxhash64(doc, sha).alias("digest")
+
+
 def exact(spark, docs, sf_dir):
-    """One row of each group of equal texts stays, the one with the largest doc_id."""
-    kept = save(exact_dedup(docs).where("kept").select("rid"), "kept")
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("rid")).join(bounded(kept), "rid", "left_semi").select(*COLUMNS)
+    """One row of each group of equal texts stays, one with the largest doc_id.
+
+    Rows are named by what they hold, never by their place in a scan: a second
+    scan may be split in another way, say after an executor was lost.  Of rows
+    that repeat the doc_id and the text, one stays.
+    """
+    found = exact_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = found.select(*_named(F.col("doc_id"), F.col("text_sha256"))).groupBy("k", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    kept = save(kept, "kept")
+    keyed = docs.select(*COLUMNS, *_named(F.col("doc_id").cast("long"), F.sha2(lower_ascii(F.col("text")), 256)))
+    out = keyed.join(bounded(kept.where("rows = 1").drop("rows")), ["k", "digest"], "left_semi").select(*COLUMNS)
+    repeated = kept.where("rows > 1").drop("rows")
+    if repeated.isEmpty():
+        return out
+    again = keyed.join(bounded(repeated), ["k", "digest"], "left_semi")
+    again = again.groupBy("k", "digest").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return out.unionByName(again)
 
 
 def near(spark, docs, sf_dir):

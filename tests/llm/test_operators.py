@@ -241,3 +241,40 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_exact_stage_survives_another_split(spark, tmp_path, monkeypatch):
+    """A second scan that is split in another way keeps the same rows; repeated rows and null ids leave one row a group."""
+    import corpus_pipeline
+
+    rows = [(k, f"text {k % 40}", "en", f"s{k}", 1) for k in range(400)] + [(399, "Text 39", "fr", "x", 1)] * 2 + [(None, None, None, None, None), (None, "", None, "s", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(7).write.parquet(str(tmp_path / "docs"))
+    real, key = corpus_pipeline.save, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def save_then_split(df, tag):
+        out = real(df, tag)
+        spark.conf.set(key, "1200")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "save", save_then_split)
+    try:
+        got = corpus_pipeline.exact(spark, spark.read.parquet(str(tmp_path / "docs")), None).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.text or "").lower() for r in got) == sorted({f"text {k}" for k in range(40)} | {""})
+    assert all(r.doc_id is None or r.doc_id >= 360 for r in got)
+
+
+def test_training_sample_holds_whole_texts(spark, monkeypatch):
+    from loomtide.llm import toxicity as T
+
+    rows = [(k, f"row {k} " * 10) for k in range(60)] + [(3, "row 3 again")] * 5 + [(61, "w " * 200_000)]
+    known = labels(spark, [(k, 1, k % 2) for k in range(62)])
+    got = T.labelled_sample(table(spark, rows), known)
+    assert len({i for i, _, _ in got}) == len(got) and all((i, t) in rows for i, t, _ in got)
+    assert {i for i, _, _ in got} == {k for k in [*range(60), 61] if zlib.crc32(str(k).encode()) % 3 != 1}
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 500)
+    few = T.labelled_sample(table(spark, rows), known)
+    assert 0 < sum(len(t) for _, t, _ in few) <= 500 and set(few) < set(got)
