@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtide.llm.bpe import bpe_roundtrip
 from loomtide.llm.exact_dedup import exact_dedup
-from loomtide.llm.jaccard_join import jaccard_components
+from loomtide.llm.jaccard_join import jaccard_components, text_digest
 from loomtide.llm.mixing import mixture
 from loomtide.llm.quality import quality_scores
 from loomtide.llm.shared import bounded, documents, lower_ascii, save
@@ -59,10 +59,16 @@ def exact(spark, docs, sf_dir):
 def near(spark, docs, sf_dir):
     """One document of each group of near-duplicates stays (five words, 0.8): the one with the group's smallest doc_id.
 
-    Rows without words are in no group and stay.
+    A null doc_id ranks last; of different texts under one doc_id, one stays.  Rows without words are in no group and
+    stay.  Rows that repeat doc_id and text are decided alike (the stage before leaves one).
     """
-    dropped = save(jaccard_components(docs).where("doc_id != component_id").select("doc_id"), "near")
-    return docs.select(*COLUMNS).join(bounded(dropped), "doc_id", "left_anti")
+    found = jaccard_components(docs).where("label is not null").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("row"))
+    found = save(found, "near")
+    heads = save(found.groupBy("label").agg(F.min("row").alias("head")), "heads")
+    dropped = found.join(heads, "label").where("row != head").select(F.coalesce("row.doc_id", F.lit(0)).alias("k"), "row.digest")
+    dropped = save(dropped, "dropped")
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), text_digest(F.col("text")).alias("digest"))
+    return keyed.join(bounded(dropped), ["k", "digest"], "left_anti").select(*COLUMNS)
 
 
 def mix(spark, docs, sf_dir):

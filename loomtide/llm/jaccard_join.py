@@ -310,8 +310,12 @@ def _verifier(num: int, den: int):
     return verify
 
 
+def text_digest(text):
+    return F.xxhash64(F.lit(7), text)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links.
+    """One row per input row: doc_id, n_shingles, component_id, n_links, label, digest.
 
     A document's set holds its distinct ``width``-word shingles over lower-cased
     (A-Z) words; with fewer words the whole sequence is its one shingle; without
@@ -323,13 +327,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     count as documents of their own.  An empty table gives no rows.  Other
     columns are not read.
 
+    ``label`` names the component whatever its ids are (null for an empty set);
+    ``digest`` is :func:`text_digest` of the row's text.
+
     Shingles and sets are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)
     plan = Plan(num, den)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(7), F.col(text_col)).alias("digest"), text)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), text)
     read = save(base.mapInArrow(tidied(_read(width)), "doc_id long, digest long, size long, node long, frequent boolean"), "sets")
     sets = read.where("not frequent").drop("frequent")
     counts = read.where("frequent").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= FREQUENT)
@@ -372,8 +379,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     classes = classes.select("node", "low", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     classes = save(classes, "classes")  # heads and minima are written, so that a large component's rows can be split
     least = save(classes.groupBy("label").agg(F.min("low").alias("component")), "least")
-    named = classes.join(least, "label").select("node", "component", "n_links")
-    out = sets.select("doc_id", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
+    named = classes.join(least, "label").select("node", "label", "component", "n_links")
+    out = sets.select("doc_id", "digest", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
     drop(family)
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "label", "digest")

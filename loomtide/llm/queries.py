@@ -54,7 +54,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_components(documents(spark, sf_dir), width=3, num=90, den=100)
+    return jaccard_components(documents(spark, sf_dir), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op10_byte_bpe(spark, sf_dir):

@@ -278,3 +278,13 @@ def test_training_sample_holds_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(T, "SAMPLE_CHARS", 500)
     few = T.labelled_sample(table(spark, rows), known)
     assert 0 < sum(len(t) for _, t, _ in few) <= 500 and set(few) < set(got)
+
+
+def test_near_stage_keys_rows_by_id_and_text(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(base)), (9, " ".join([*base, "end"])), (9, "a text of its own under an id that is dropped elsewhere"), (None, " ".join([*base, "more"])), (None, "no id but a text of its own"), (7, None), (8, "")]
+    docs = table(spark, rows)
+    got = corpus_pipeline.near(spark, docs, None).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted((rows[k] for k in (0, 2, 4, 5, 6)), key=str)
