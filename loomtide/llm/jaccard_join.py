@@ -231,8 +231,7 @@ def _lists(plan: Plan, width: int, buckets: int, frequent):
             if not keys:
                 continue
             key, least, u, v, at = ties(np.concatenate(keys), np.concatenate(nodes))
-            width_bits = U(64 - (buckets - 1).bit_length()) if buckets > 1 else U(63)
-            cut = np.searchsorted(key >> width_bits, np.arange(buckets + 1))
+            cut = np.searchsorted((key >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1))  # any number of buckets takes all keys
             tie_cut = np.searchsorted(at, cut)
             out = {"bucket": [], "keys": [], "nodes": [], "u": [], "v": []}
             for i in range(buckets):

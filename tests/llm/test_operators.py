@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -118,6 +119,37 @@ def test_jaccard_join(spark, width, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, width, num)
 
 
+@pytest.mark.parametrize("partitions", [3, 6, 200])
+def test_jaccard_join_for_any_number_of_partitions(spark, partitions):
+    """Pairs that share a single key are found however many buckets the keys fall into; none is a power of two here."""
+    rng = np.random.default_rng(partitions)
+    rows = []
+    for k in range(60):
+        w = [f"w{v}" for v in rng.integers(0, 1 << 30, 12 + k % 6)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-1]))]
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, partitions)
+    try:
+        got = J.jaccard_components(table(spark, rows), 3, 90, 100).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, 3, 90)
+
+
+def test_lists_emit_every_key():
+    plan, text = J.Plan(90, 100), pa.array([" ".join(f"w{i}-{k}" for k in range(12)) for i in range(200)])
+
+    class Told:
+        value = np.zeros(0, np.uint64)
+
+    def emitted(buckets):
+        out = list(J._lists(plan, 3, buckets, Told)([pa.record_batch([text], ["text"])]))
+        return sum(len(x) // 8 for b in out for x in b.column(1).to_pylist())
+
+    assert {emitted(n) for n in (1, 3, 12, 24, 800)} == {emitted(4)} and emitted(4) > 0
+
+
 def test_lists_lose_no_pair():
     """Any two sets that link share a key, whatever shingles count as frequent."""
     rng = np.random.default_rng(0)
