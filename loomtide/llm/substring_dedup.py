@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from loomtide.llm.lines import remove_repeats
 
-MIN_WORDS = 5  # shorter units, such as headings, are left alone
+MIN_WORDS = 1  # every unit counts, whatever its length or script
 
 
 def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

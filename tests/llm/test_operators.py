@@ -21,6 +21,7 @@ from loomtide.llm.components import components
 from loomtide.llm.exact_dedup import exact_dedup
 from loomtide.llm.line_dedup import line_dedup
 from loomtide.llm.quality import quality_scores
+from loomtide.llm.queries import QUERIES
 from loomtide.llm.substring_dedup import substring_dedup
 from loomtide.llm.token_counts import END, Matcher, read_vocabulary, token_counts
 from loomtide.llm.toxicity import train, toxicity
@@ -244,6 +245,14 @@ def test_repeats(spark):
     assert [got[i].text for i in (3, 4)] == ["a\nb\nc\nd\nq", "x\ny\nz"] and got[5].n_repeats == 2 and got[5].n_spans == 2 and got[5].text == ""
 
 
+def test_short_lines_and_lines_without_spaces_repeat(spark, tmp_path):
+    long = "これは空白のない長い行です" * 20
+    rows = [(1, f"Read more\n{long}\none of its own"), (2, f"another\nread  MORE\n{long}\nend"), (3, "Read more\nlast")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], "another\nend", "last"] and [got[i].n_repeats for i in (1, 2, 3)] == [0, 2, 1]
+
+
 def test_mixing(spark):
     assert mixing.share_out(100, {"a": (0.5, 10), "b": (0.25, 1000), "c": (0.25, 1000)}) == {"a": 10, "b": 45, "c": 45}
     leaves = {("d", "en", "s1"): 100, ("d", "en", "s2"): 1000, ("d", "fr", "s1"): 1000}
