@@ -109,6 +109,16 @@ def nearest_tags(spark, sf_dir):
     return found.orderBy(F.desc("similarity"), "tag_id").limit(50)
 
 
+@query(f"""SELECT page_id, tag_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, tag_id) AS n FROM (
+    SELECT a.vec_id AS page_id, b.vec_id AS tag_id, {_DOT} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE n <= 50""")
+def nearest_tags_by_page(spark, sf_dir):
+    """The 50 tags most like each page's vector."""
+    v = _vectors(spark, sf_dir)
+    best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
+    found = V.similar(v, v, top=50).withColumn("n", F.row_number().over(best)).where("n <= 50")
+    return found.select(F.col("left_id").alias("page_id"), F.col("right_id").alias("tag_id"), "similarity")
+
+
 @query(f"""SELECT a.vec_id AS a, b.vec_id AS b, {_DOT} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT} >= 0.35""")
 def similar_pairs(spark, sf_dir):
     v = _vectors(spark, sf_dir)

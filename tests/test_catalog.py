@@ -28,3 +28,8 @@ def test_query(spark, db, name):
     want = db.sql(catalog.ORACLE_SQL[name])
     place = [want.columns.index(c) for c in columns]
     assert got == sorted(tuple(str(r[i]) for i in place) for r in want.fetchall())
+
+
+def test_nearest_tags_of_every_page(spark, db):
+    got = catalog.QUERIES["nearest_tags_by_page"](spark, SF)
+    assert {r.page_id for r in got.select("page_id").distinct().collect()} == {i for (i,) in db.sql("select vec_id from embeddings").fetchall()}
