@@ -15,4 +15,4 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
     A line that repeats on its own stays: only a repeat of ``window`` consecutive
     lines counts.
     """
-    return remove_repeats(docs, "line", window, 1, id_col, text_col)
+    return remove_repeats(docs, "line", window, 1, 1, id_col, text_col)

@@ -7,16 +7,20 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side made of fixed-width keys may be broadcast; beyond it a shuffle join is planned.
 BROADCAST_ROWS = 1_000_000
 
-_live: set[tuple[int, str]] = set()
+_BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+_swept: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,14 +36,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/loomtide/{spark.sparkContext.applicationId}"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet to the application's shared folder and read it back: cuts lineage and survives lost executors.
+
+    Python workers get small batches while it is written, so that long texts take
+    little memory; the session's setting is put back.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loomtide/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _live:
-        atexit.register(_sweep, spark)
-    _live.add((id(spark), path))
+    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= SMALL_BATCH:
+        spark.conf.set(_BATCH, str(SMALL_BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    if spark.sparkContext.applicationId not in _swept:
+        _swept.add(spark.sparkContext.applicationId)
+        atexit.register(_sweep, spark, _folder(spark))
     out = spark.read.schema(df.schema).parquet(path)
     out._loomtide_path = path
     return out
@@ -51,19 +69,30 @@ def drop(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._loomtide_path)
 
 
+def clean(spark: SparkSession, hours: float) -> list[str]:
+    """Delete the scratch folders of applications that ended without doing so: those untouched for so many hours."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/loomtide")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for found in fs.listStatus(path) if fs.exists(path) else []:
+        name = found.getPath().getName()
+        if name != spark.sparkContext.applicationId and time.time() - found.getModificationTime() / 1000 >= hours * 3600:
+            fs.delete(found.getPath(), True)
+            gone.append(name)
+    return gone
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _live.discard((id(spark), path))
 
 
-def _sweep(spark: SparkSession) -> None:
-    for _, path in list(_live):
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may be gone at interpreter exit
-            return
+def _sweep(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the JVM may be gone at interpreter exit
+        return
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,11 +100,22 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand Python workers Arrow batches of at most 2,000 rows, so that their memory stays small beside long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= 2_000:
-        spark.conf.set(key, "2000")
+def row_key(doc, text):
+    """Columns k and digest, which name a row by its doc_id (a null one ranks first) and its text."""
+    return F.coalesce(doc, F.lit(-(1 << 63))).alias("k"), F.xxhash64(doc, text).alias("digest")
+
+
+def slices(batches, column: int, rows: int = 512, size: int = 4 << 20):
+    """Slices of Arrow batches of at most ``rows`` rows and ``size`` bytes of a string column, or of one row."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(total, total[at] + size, side="right")) - 1
+            end = min(max(end, at + 1), at + rows, b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
 
 
 def tidied(run):
@@ -102,7 +142,3 @@ def lower_ascii(text):
     text = F.coalesce(text, F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
