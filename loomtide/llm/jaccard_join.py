@@ -16,7 +16,8 @@ Documents with equal shingle sets form one class; classes are joined.
 
 A list's members are tied to its least member, first within a batch of
 documents, then over all batches: a list of n members gives n - 1 ties, not
-n * n pairs.  Tied families are verified in blocks on their whole shingle sets.
+n * n pairs.  Tied families are verified in blocks on their whole shingle sets;
+the counts of direct links need all pairs of a family's blocks, which travel compressed.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ from pyspark.sql import functions as F
 
 from loomtide.llm import textnum as tn
 from loomtide.llm.components import components
-from loomtide.llm.shared import bounded, drop, save, shuffle_width, small_batches, tidied
+from loomtide.llm.shared import bounded, drop, save, tidied
 
 U = np.uint64
 CLASS_RATIO = 1.4  # upper over lower size of a size class
-BLOCK = 256  # documents of a family that one verification block holds
+BLOCK, MOST = 64, 512  # sets of a family that one verification block holds: more only where there are 64 blocks
+BLOCK_SHINGLES = 1 << 20  # shingles that a block holds on average, or those of one set
 #: Shingles count as frequent from this many sets on, as counted in runs of so many shingles; at most so many are told to the tasks.
 FREQUENT, RUN, MAX_FREQUENT = 64, 2_000_000, 200_000
-_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+KEYS = 1_000_000  # list keys that a task combines before it hands them on
 
 
 def subset_depth(size: int, num: int, den: int) -> int:
@@ -213,12 +215,20 @@ def _read(width: int):
     return rows
 
 
-def _lists(plan: Plan, width: int, buckets: int, frequent):
-    """Over batches of (text): each batch's lists, packed by bucket of the key."""
+def _lists(plan: Plan, width: int, frequent):
+    """Over batches of (text): rows (key, least node, null) of each run's lists, and rows (null, least, other) of ties within it."""
+
+    def told(keys, nodes):
+        key, least, u, v, _ = ties(np.concatenate(keys), np.concatenate(nodes))
+        pair = np.unique(np.stack([u, v]), axis=1)
+        return [
+            pa.record_batch([pa.array(key.view(np.int64)), pa.array(least), pa.nulls(len(key), pa.int64())], _LISTED),
+            pa.record_batch([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1])], _LISTED),
+        ]
 
     def lists(batches):
+        keys, nodes, held = [], [], 0
         for b in batches:
-            keys, nodes = [], []
             for _, _, data, off in tn.chunks(b.column(0)):
                 tok, n = tn.shingles(*tn.words(data, off), width)
                 ids = set_ids(tok, n).view(np.int64)
@@ -228,43 +238,28 @@ def _lists(plan: Plan, width: int, buckets: int, frequent):
                 k, r = list_keys(tok[keep], np.where(seen, n, 0), plan, frequent.value)
                 keys.append(k)
                 nodes.append(ids[r])
-            if not keys:
-                continue
-            key, least, u, v, at = ties(np.concatenate(keys), np.concatenate(nodes))
-            cut = np.searchsorted((key >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1))  # any number of buckets takes all keys
-            tie_cut = np.searchsorted(at, cut)
-            out = {"bucket": [], "keys": [], "nodes": [], "u": [], "v": []}
-            for i in range(buckets):
-                a, z, c, d = cut[i], cut[i + 1], tie_cut[i], tie_cut[i + 1]
-                if a == z:
-                    continue
-                pair = np.unique(np.stack([u[c:d], v[c:d]]), axis=1)
-                for name, val in (("bucket", i), ("keys", key[a:z].tobytes()), ("nodes", least[a:z].tobytes()), ("u", pair[0].tobytes()), ("v", pair[1].tobytes())):
-                    out[name].append(val)
-            yield pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "nodes", "u", "v"))], ["bucket", "keys", "nodes", "u", "v"])
+                held += len(k)
+                if held >= KEYS:
+                    yield from told(keys, nodes)
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield from told(keys, nodes)
 
     return lists
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """Ties of one bucket: those found within batches, and those between batches."""
-
-    def col(name, kind):
-        return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
+_LISTED = ["key", "u", "v"]
 
-    _, _, u, v, _ = ties(col("keys", U), col("nodes", np.int64))
-    pair = np.unique(np.stack([np.concatenate([u, col("u", np.int64)]), np.concatenate([v, col("v", np.int64)])]), axis=1)
-    return pa.table([pa.array(pair[0]), pa.array(pair[1])], schema=_EDGE)
 
-
-def link_matrix(tokens: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which of these sets link with which."""
+def link_matrix(tokens: list[np.ndarray], num: int, den: int, cut: int | None = None) -> np.ndarray:
+    """Which of these sets link with which; with ``cut``, only those before it with those from it on."""
     n = len(tokens)
     sizes = np.array([len(t) for t in tokens], np.int64)
     row = np.repeat(np.arange(n), sizes)
     _, inv = np.unique(np.concatenate(tokens), return_inverse=True)
     df = np.bincount(inv)
-    shared = np.full((n, n), float(np.count_nonzero(df == n)))
+    a, b = (slice(0, n), slice(0, n)) if cut is None else (slice(0, cut), slice(cut, n))
+    shared = np.full((n, n), float(np.count_nonzero(df == n)))[a, b]
     use = np.flatnonzero((df > 1) & (df < n))
     place = np.full(len(df), -1)
     place[use] = np.arange(len(use))
@@ -274,37 +269,92 @@ def link_matrix(tokens: list[np.ndarray], num: int, den: int) -> np.ndarray:
     row, col = row[order], col[order]
     step = 4096
     for at in range(0, len(use), step):
-        a, z = np.searchsorted(col, [at, at + step])
+        i, j = np.searchsorted(col, [at, at + step])
         m = np.zeros((n, min(step, len(use) - at)), np.float32)
-        m[row[a:z], col[a:z] - at] = 1
-        shared += m @ m.T
+        m[row[i:j], col[i:j] - at] = 1
+        shared += m[a] @ m[b].T
     inter = np.rint(shared).astype(np.int64)
-    return inter * den >= num * (sizes[:, None] + sizes[None, :] - inter)
+    return inter * den >= num * (sizes[a, None] + sizes[None, b] - inter)
 
 
-def _verifier(num: int, den: int):
-    def verify(table: pa.Table) -> pa.Table:
+class Block:
+    """Sets of one family that are verified together."""
+
+    def __init__(self, node, copies, tokens):
+        self.node, self.copies, self.tokens = node, copies, tokens
+
+    @staticmethod
+    def of(table: pa.Table) -> Block:
         node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        block = table.column("block").to_numpy()[first]
-        weight = table.column("copies").to_numpy()[first]
         packed = table.column("tokens")
-        link = link_matrix([np.frombuffer(packed[int(i)].as_py(), U) for i in first], num, den)
+        return Block(node, table.column("copies").to_numpy()[first], [np.frombuffer(packed[int(i)].as_py(), U) for i in first])
+
+    def packed(self) -> bytes:
+        """All arrays behind one another; near copies share most of their shingles, which the compression uses."""
+        sizes = np.array([len(t) for t in self.tokens], np.int64)
+        raw = b"".join([np.int64(len(sizes)).tobytes(), self.node.tobytes(), self.copies.astype(np.int64).tobytes(), sizes.tobytes(), *(t.tobytes() for t in self.tokens)])
+        return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+    @staticmethod
+    def unpacked(data: bytes) -> Block:
+        raw = pa.decompress(data[8:], int(np.frombuffer(data[:8], np.int64)[0]), "zstd", asbytes=True)
+        ints = np.frombuffer(raw, np.int64)
+        n = int(ints[0])
+        node, copies, sizes = ints[1 : n + 1], ints[n + 1 : 2 * n + 1], ints[2 * n + 1 : 3 * n + 1]
+        return Block(node, copies, np.split(ints[3 * n + 1 :].view(U), np.cumsum(sizes)[:-1]))
+
+
+def _labels(link: np.ndarray) -> np.ndarray:
+    """The least row reachable from each row by links."""
+    label = np.arange(len(link))
+    for i in range(len(link)):
+        if label[i] == i:  # everything reachable from i that has no label yet
+            reach = link[i].copy()
+            reach[i] = True
+            front = np.flatnonzero(link[i])
+            while len(front):
+                new = link[front].any(axis=0) & ~reach
+                reach |= new
+                front = np.flatnonzero(new)
+            label[reach] = np.minimum(label[reach], i)
+    return label
+
+
+_FOUND = "node long, label long, links long"
+
+
+def _found(node, link, weight) -> dict[str, np.ndarray]:
+    label, keep = _labels(link), link.any(axis=0)
+    return {"node": node[keep], "label": node[label[keep]], "links": (link @ weight)[keep].astype(np.int64)}
+
+
+def _within(num: int, den: int):
+    """Links inside a block and, where the family has more blocks, the block itself for the pairs with the others."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        block, blocks = Block.of(table), table.column("blocks")[0].as_py()
+        link = link_matrix(block.tokens, num, den)
         np.fill_diagonal(link, False)
-        if table.column("bi")[0].as_py() != table.column("bj")[0].as_py():
-            link &= block[:, None] != block[None, :]
-        label = np.arange(len(node))
-        for i in range(len(node)):
-            if label[i] == i:  # everything reachable from i that has no label yet
-                reach = link[i].copy()
-                reach[i] = True
-                front = np.flatnonzero(link[i])
-                while len(front):
-                    new = link[front].any(axis=0) & ~reach
-                    reach |= new
-                    front = np.flatnonzero(new)
-                label[reach] = np.minimum(label[reach], i)
-        keep = link.any(axis=0)
-        return pa.table({"node": node[keep], "label": node[label[keep]], "links": (link @ weight)[keep].astype(np.int64)})
+        got = _found(block.node, link, block.copies)
+        more = 1 if blocks > 1 else 0
+        rest = {"family": pa.array([table.column("family")[0].as_py()] * more, pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * more, pa.int32()), "blocks": pa.array([blocks] * more, pa.int32()), "sets": pa.array([block.packed() for _ in range(more)], pa.binary())}
+        n = len(got["node"])
+        cols = {k: pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(more, pa.int64())]) for k, v in got.items()}
+        return pa.table(cols | {k: pa.concat_arrays([pa.nulls(n, v.type), v]) for k, v in rest.items()})
+
+    return verify
+
+
+def _between(num: int, den: int):
+    """Links between two blocks of a family."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        a, b = (Block.unpacked(x.as_py()) for x in table.column("sets"))
+        cut, n = len(a.node), len(a.node) + len(b.node)
+        link = np.zeros((n, n), bool)
+        link[:cut, cut:] = link_matrix([*a.tokens, *b.tokens], num, den, cut)
+        link |= link.T
+        return pa.table(_found(np.concatenate([a.node, b.node]), link, np.concatenate([a.copies, b.copies])))
 
     return verify
 
@@ -332,29 +382,36 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     Shingles and sets are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     plan = Plan(num, den)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), text)
     read = save(base.mapInArrow(tidied(_read(width)), "doc_id long, digest long, size long, node long, frequent boolean"), "sets")
     sets = read.where("not frequent").drop("frequent")
+    # the classes, aggregated before their shuffle: a class of many copies is one row from each task
+    each = sets.where("size > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "digest")).alias("row"), F.min("doc_id").alias("low"), F.max("size").alias("size"))
+    each = save(each, "each")
     counts = read.where("frequent").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= FREQUENT)
     told = counts.orderBy(F.desc("n"), "node").limit(MAX_FREQUENT).select("node").toPandas()["node"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(told.astype(np.int64).view(U)))
 
-    packed = base.select("text").mapInArrow(tidied(_lists(plan, width, 4 * shuffle_width(spark), frequent)), "bucket int, keys binary, nodes binary, u binary, v binary")
-    tied = packed.groupBy("bucket").applyInArrow(_gather, "u long, v long")
-    family = save(components(tied), "families")
+    listed = save(base.select("text").mapInArrow(tidied(_lists(plan, width, frequent)), "key long, u long, v long"), "lists")
+    keys = listed.where("key is not null").select("key", "u")
+    # of each list its least member; lists with one member tie nothing.  Plain aggregates and joins, which spill and split.
+    heads = save(keys.groupBy("key").agg(F.min("u").alias("least"), F.max("u").alias("most")).where("least < most").select("key", "least"), "heads")
+    tied = keys.join(bounded(heads), "key").where("u != least").select(F.col("least").alias("u"), F.col("u").alias("v"))
+    family = save(components(tied.unionByName(listed.where("key is null").select("u", "v"))), "families")
+    drop(listed, heads)
 
-    heads = save(family.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "heads")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    member = family.join(heads, "label").select("node", F.col("label").alias("family"), blocks.alias("blocks"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    known = sets.join(family.select("node"), "node", "left_semi")
     # one row of each class brings its text to verification
-    pick = known.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "digest")).alias("row"))
-    pick = save(pick.join(member, "node").select("row.doc_id", "row.digest", "node", "copies", "family", "block", "blocks"), "members")
-    side = bounded(pick)
+    pick = each.join(family.withColumnRenamed("label", "family"), "node")
+    pick = save(pick.select("node", "family", "copies", "row", "size"), "members")
+    drop(family)
+    total = save(pick.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")), "totals")
+    rows = F.least(F.greatest(F.col("members") / F.lit(BLOCK), F.lit(BLOCK)), F.lit(MOST))
+    blocks = F.greatest(F.ceil(F.col("members") / rows), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    side = pick.join(bounded(total), "family").withColumn("blocks", blocks)
+    side = side.select("row.doc_id", "row.digest", "node", "copies", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    side = bounded(side)
     cond = base["doc_id"].eqNullSafe(side["doc_id"]) & (base["digest"] == side["digest"])
     texts = base.join(side, cond).select("node", "copies", "family", "block", "blocks", "text")
 
@@ -367,19 +424,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
                 yield pa.record_batch([*(b.column(i).slice(at, n) for i in range(5)), pa.array(part, pa.binary())], ["node", "copies", "family", "block", "blocks", "tokens"])
 
     sent = texts.mapInArrow(tidied(tokens), "node long, copies long, family long, block int, blocks int, tokens binary")
-    sent = sent.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("family", F.least("block", "mate").alias("bi"), F.greatest("block", "mate").alias("bj"), "node", "copies", "block", "tokens")
-    found = save(sent.groupBy("family", "bi", "bj").applyInArrow(_verifier(num, den), "node long, label long, links long"), "links")
+    within = save(sent.groupBy("family", "block").applyInArrow(_within(num, den), _FOUND + ", family long, block int, blocks int, sets binary"), "within")
+    pairs = within.where("sets is not null").withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mate != block")
+    pairs = pairs.select("family", F.least("block", "mate").alias("bi"), F.greatest("block", "mate").alias("bj"), "sets")
+    between = pairs.groupBy("family", "bi", "bj").applyInArrow(_between(num, den), _FOUND)
+    found = save(within.where("node is not null").select("node", "label", "links").unionByName(between), "links")
+    drop(pick, total, within)
 
     linked = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = sets.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = each.select("node", "low", "copies")
     classes = classes.join(linked, "node", "left").join(degree, "node", "left")
     classes = classes.select("node", "low", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     classes = save(classes, "classes")  # heads and minima are written, so that a large component's rows can be split
+    drop(found)
     least = save(classes.groupBy("label").agg(F.min("low").alias("component")), "least")
     named = classes.join(least, "label").select("node", "label", "component", "n_links")
     out = sets.select("doc_id", "digest", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
-    drop(family)
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "label", "digest")

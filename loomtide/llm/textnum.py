@@ -7,6 +7,7 @@ sums, so that no Python object is made per word.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +32,17 @@ _VALUE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 _VALUE[65:91] = _VALUE[97:123]
 _WORD = np.ones(256, dtype=bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, base, dtype=U)
-            p[0] = 1
-            _powers[key] = np.cumprod(p, dtype=U)
-    return _powers["up"], _powers["down"]
+@functools.cache
+def _power() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for the bytes of a chunk."""
+    out = []
+    for base in (_BASE, _INV):
+        p = np.full(CHUNK_BYTES + 1, base, dtype=U)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=U))
+    return out[0], out[1]
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -78,15 +79,35 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[ends[ends > 0] - 1] = False
     start = np.flatnonzero(inside & ~before)
     stop = np.flatnonzero(inside & ~after) + 1
-    up, down = _power(n)
-    total = np.empty(n + 1, dtype=U)
-    total[0] = 0
-    np.cumsum(_VALUE[data] * up[:n], out=total[1:])
-    h = mix((total[stop] - total[start]) * down[start])
+    h = np.empty(len(start), dtype=U)
+    at = 0
+    while at < len(start):  # so many words at a time as fit into a chunk, or one longer word
+        end = max(int(np.searchsorted(stop, start[at] + CHUNK_BYTES, side="right")), at + 1)
+        a, z = int(start[at]), int(stop[end - 1])
+        if z - a > CHUNK_BYTES:
+            h[at] = _long_word(data[a:z])
+        else:
+            up, down = _power()
+            total = np.empty(z - a + 1, dtype=U)
+            total[0] = 0
+            np.cumsum(_VALUE[data[a:z]] * up[: z - a], out=total[1:])
+            h[at:end] = mix((total[stop[at:end] - a] - total[start[at:end] - a]) * down[start[at:end] - a])
+        at = end
     counts = np.diff(np.searchsorted(start, offsets))
     return h, counts
 
 
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The hash of one word of more than a chunk, summed chunk by chunk."""
+    up, _ = _power()
+    total, shift, step = 0, 1, pow(_BASE, CHUNK_BYTES, 1 << 64)
+    for at in range(0, len(data), CHUNK_BYTES):
+        part = data[at : at + CHUNK_BYTES]
+        total = (total + int((_VALUE[part] * up[: len(part)]).sum(dtype=U)) * shift) % (1 << 64)
+        shift = shift * step % (1 << 64)
+    return mix(np.array([total], dtype=U))[0]
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, rising within the row, and how many there are.
 
