@@ -6,6 +6,10 @@ generative label model estimates each voter's accuracy by expectation
 maximisation, finds correlated voters and shares their weight, and gives every
 training row a posterior.  A linear classifier is trained on the posteriors and
 scores all documents.  Only the text enters a score.
+
+Labels are used twice: to find the terms, and for the share of toxic rows, the
+label model's prior.  Label model and classifier see votes and texts only; a
+score is the classifier's probability as it is.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import small_batches, tidied
+from loomtide.llm.shared import slices, tidied
 
 #: Bound of the labelled sample that the driver reads: rows of each class, and the characters read in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_500, 5_000, 60_000_000
@@ -29,19 +33,24 @@ NEAR = 60  # characters between two terms that count as one outburst
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def distinct_rows(texts: list[str], least: int = 6) -> list[int]:
-    """Rows that are no near copies of a row before them: copies say nothing new about a term."""
+def distinct_rows(texts: list[str], alike: float = 0.8) -> list[int]:
+    """Rows that are no near copies of a row before them: copies say nothing new about a term.
+
+    A near copy shares ``alike`` of all different words with an earlier row that
+    stays; one of the 16 smallest word hashes in common makes a row a candidate.
+    """
     holders: dict[int, list[int]] = {}
-    out = []
+    kept: dict[int, set[str]] = {}
     for i, text in enumerate(texts):
-        sketch = sorted(zlib.crc32(w.encode()) for w in set(_WORD.findall(text.lower())))[:16]
-        shared = Counter(k for h in sketch for k in holders.get(h, ()))
-        if any(n >= min(least, len(sketch)) for n in shared.values()):
+        words = set(_WORD.findall(text.lower()))
+        sketch = sorted(zlib.crc32(w.encode()) for w in words)[:16]
+        near = {k for h in sketch for k in holders.get(h, ()) if alike * len(words) <= len(kept[k]) <= len(words) / alike}
+        if any(len(words & kept[k]) >= alike * len(words | kept[k]) for k in near) or (not words and any(not w for w in kept.values())):
             continue
-        out.append(i)
+        kept[i] = words
         for h in sketch:
             holders.setdefault(h, []).append(i)
-    return out
+    return list(kept)
 
 
 def mine_terms(texts: list[str], toxic: np.ndarray, limit: int = MAX_TERMS) -> list[str]:
@@ -123,17 +132,18 @@ def votes(x: np.ndarray, n_terms: int) -> np.ndarray:
 class LabelModel:
     """Accuracies of voters given the hidden label, with weight shared among correlated voters."""
 
-    def fit(self, v: np.ndarray, y: np.ndarray, rounds: int = 25, trust: float = 0.95, clash: float = 0.5) -> LabelModel:
-        post = np.where(y, trust, 1 - trust).astype(float)
+    def fit(self, v: np.ndarray, prior: float, rounds: int = 25, clash: float = 0.5) -> LabelModel:
+        """From votes alone; ``prior`` is the share of toxic rows.  It starts from the rows with the most votes for toxic."""
+        balance = v.sum(1)
+        post = np.where(balance > np.quantile(balance, 1 - prior), 0.9, 0.1)
         self.weight = np.ones(v.shape[1])
+        self.prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
         for r in range(rounds):
-            self.prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
             self.table = np.stack([[((v == k) * p[:, None]).sum(0) + 0.5 for k in (-1, 0, 1)] for p in (1 - post, post)])
             self.table /= self.table.sum(axis=1, keepdims=True)
             if r in (3, 10):
                 self.weight = self._shares(v, post, clash)
-            evidence = self.evidence(v) + np.where(y, 1.0, -1.0) * np.log(trust / (1 - trust))
-            post = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
+            post = 1 / (1 + np.exp(-np.clip(self.evidence(v), -30, 30)))
         self.posterior = post
         return self
 
@@ -191,7 +201,7 @@ def train(texts: list[str], toxic: list[int]) -> Scorer:
     terms = mine_terms(texts, y)
     counter = Finder(terms)
     x = np.array([counter.features(t) for t in texts], float)
-    target = LabelModel().fit(votes(x, len(terms)), y).posterior
+    target = LabelModel().fit(votes(x, len(terms)), y.mean()).posterior
     d = design(x, len(terms))
     centre, scale = d.mean(0), d.std(0) + 1e-6
     d = np.concatenate([(d - centre) / scale, np.ones((len(d), 1))], 1)
@@ -204,12 +214,6 @@ def train(texts: list[str], toxic: list[int]) -> Scorer:
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    # move the cut that is best on the training labels to a score of 0.7
-    z = d @ w
-    cuts = np.unique(np.quantile(z, np.linspace(0.5, 0.999, 400)))
-    f1 = [2 * (y & (z >= c)).sum() / ((z >= c).sum() + y.sum()) for c in cuts]
-    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    w[-1] += np.log(0.7 / 0.3) - cuts[best[len(best) // 4]]
     return Scorer(terms, centre, scale, w)
 
 
@@ -253,17 +257,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     equal scores.  Without labelled rows of both classes all scores are 0.  An
     empty table gives no rows.  Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels)
     scorer = train([t for _, t, _ in sample], [y for _, _, y in sample])
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # MAX_TERMS terms and weights
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                score = shared.value.score(part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for part in slices(batches, 2, 256):
+            score = shared.value.score(part.column(2).to_pylist())
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_test_fold(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return base.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
