@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import small_batches, tidied
+from loomtide.llm.shared import slices, tidied
 
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, FFT, BANDS, WINDOW = 200, 80, 256, 26, 32
@@ -168,21 +168,19 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                rows = []
-                for doc_id, text in zip(b.column(0).slice(at, 64).to_pylist(), b.column(1).slice(at, 64).to_pylist(), strict=True):
-                    raw = text.encode()
-                    media = to_wav(pad_payload(raw))
-                    samples, stream, summary = describe(media)
-                    summary = f"{summary};tensor={hashlib.sha256(stream).hexdigest()[:16]}"
-                    row = (doc_id, len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary)
-                    rows.append((*row, media, stream) if with_media else row)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                names = [*(c.split()[0] for c in _COLUMNS.split(", ")), "media", "tensors"]
-                cols = list(zip(*rows, strict=True))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds[: len(cols)], strict=True)], names[: len(cols)])
-
-    small_batches(docs.sparkSession)
+        for part in slices(batches, 1, 64, 1 << 20):
+            rows = []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                raw = text.encode()
+                media = to_wav(pad_payload(raw))
+                samples, stream, summary = describe(media)
+                summary = f"{summary};tensor={hashlib.sha256(stream).hexdigest()[:16]}"
+                row = (doc_id, len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary)
+                rows.append((*row, media, stream) if with_media else row)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+            names = [*(c.split()[0] for c in _COLUMNS.split(", ")), "media", "tensors"]
+            cols = list(zip(*rows, strict=True))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds[: len(cols)], strict=True)], names[: len(cols)])
+
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(tidied(run), _COLUMNS + (", media binary, tensors binary" if with_media else ""))

@@ -19,10 +19,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import small_batches, tidied
+from loomtide.llm.shared import slices, tidied
 
 CACHE_WORDS = 80_000
-CHUNK = 256  # documents whose new pre-tokens are encoded in one call
+CHUNK, CHUNK_BYTES = 256, 2 << 20  # documents, and bytes of them, whose new pre-tokens are encoded in one call
+WORDS = 200_000  # pre-tokens of a longer text that are held at a time
 
 
 def byte_chars() -> str:
@@ -77,7 +78,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.tokens = read_ranks(path)
         self.whole = {t: i for i, t in enumerate(self.tokens)}
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.table = byte_chars()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
         self.cache: dict[str, bytes] = {}
@@ -100,13 +101,20 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        out = []
-        for at in range(0, len(texts), CHUNK):
-            parts = [self.split(t) for t in texts[at : at + CHUNK]]
-            self.learn(set().union(*parts).difference(self.cache))
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, p)) for p in parts]
-        return out
+        if sum(map(len, texts)) > CHUNK_BYTES:
+            return [self._encode_long(t) for t in texts]
+        parts = [self.pattern.findall(t) for t in texts]
+        self.learn(set().union(*parts).difference(self.cache))
+        return [b"".join(map(self.cache.__getitem__, p)) for p in parts]
+
+    def _encode_long(self, text: str) -> bytes:
+        found, out = (m.group() for m in self.pattern.finditer(text)), []
+        while part := list(itertools.islice(found, WORDS)):
+            self.learn(set(part).difference(self.cache))
+            out.append(b"".join(map(self.cache.__getitem__, part)))
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+        return b"".join(out)
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I")))
@@ -123,13 +131,11 @@ def bpe_codes(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                part = b.slice(at, CHUNK)
-                packed = c.encode(part.column(1).to_pylist())
-                ends = list(itertools.accumulate((len(p) // 4 for p in packed), initial=0))
-                ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["doc_id", "ids"])
+        for part in slices(batches, 1, CHUNK, CHUNK_BYTES):
+            packed = c.encode(part.column(1).to_pylist())
+            ends = list(itertools.accumulate((len(p) // 4 for p in packed), initial=0))
+            ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
@@ -144,21 +150,18 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                part = b.slice(at, CHUNK)
-                packed = c.encode(part.column(1).to_pylist())
-                yield pa.record_batch(
-                    [
-                        part.column(0),
-                        pa.array([len(p) // 4 for p in packed], pa.int64()),
-                        pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
-                        pa.array([hashlib.sha256(c.decode(p)).hexdigest() for p in packed], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in slices(batches, 1, CHUNK, CHUNK_BYTES):
+            packed = c.encode(part.column(1).to_pylist())
+            yield pa.record_batch(
+                [
+                    part.column(0),
+                    pa.array([len(p) // 4 for p in packed], pa.int64()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    pa.array([hashlib.sha256(c.decode(p)).hexdigest() for p in packed], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
         c.cache.clear()
 
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -14,13 +14,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import save
+from loomtide.llm.shared import row_key, save
 
 LEVELS = ("domain", "lang", "source")
 MAX_LEAVES = 200_000  # sums of leaves that the driver reads; more is an error
 BITS = 16
 DOMAIN_WEIGHTS = {"domain0": 0.4, "domain1": 0.3, "domain2": 0.2, "domain3": 0.1}
-LANG_WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+LANG_WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1, "*": 0.02}
+OTHER = "*"  # the weight of each name that has none of its own
 SHARE = 0.8  # of all tokens that the mixture holds
 
 
@@ -44,7 +45,7 @@ def share_out(budget: int, children: dict[str, tuple[float, int]]) -> dict[str,
 
 
 def budgets(leaves: dict[tuple[str, str, str], int], budget: int, weights: tuple[dict, dict, dict], max_epochs: int) -> dict[tuple[str, str, str], int]:
-    """Tokens for each leaf.  ``weights`` by level; a name without a weight has 1 on levels whose weights are empty, else 0."""
+    """Tokens for each leaf.  ``weights`` by level; a name without one has that of OTHER, or 1 on levels whose weights are empty, else 0."""
 
     def down(prefix: tuple, amount: int, out: dict) -> None:
         level = len(prefix)
@@ -55,7 +56,7 @@ def budgets(leaves: dict[tuple[str, str, str], int], budget: int, weights: tuple
         for leaf, tokens in leaves.items():
             if leaf[:level] == prefix:
                 inner[leaf[level]] = inner.get(leaf[level], 0) + _usable(leaf, level + 1, weights) * tokens * max_epochs
-        children = {k: (weights[level].get(k, 0.0) if weights[level] else 1.0, cap) for k, cap in inner.items()}
+        children = {k: (_weight(weights[level], k), cap) for k, cap in inner.items()}
         children = {k: (w, cap if w > 0 else 0) for k, (w, cap) in children.items()}
         for k, n in share_out(amount, children).items():
             down((*prefix, k), n, out)
@@ -65,9 +66,13 @@ def budgets(leaves: dict[tuple[str, str, str], int], budget: int, weights: tuple
     return out
 
 
+def _weight(weights: dict, name: str) -> float:
+    return weights.get(name, weights.get(OTHER, 0.0)) if weights else 1.0
+
+
 def _usable(leaf: tuple, level: int, weights: tuple) -> int:
     """0 if a weight of 0 below ``level`` shuts the leaf."""
-    return int(all(not w or w.get(name, 0.0) > 0 for name, w in zip(leaf[level:], weights[level:], strict=True)))
+    return int(all(_weight(w, name) > 0 for name, w in zip(leaf[level:], weights[level:], strict=True)))
 
 
 def word_count(text):
@@ -93,11 +98,12 @@ def _edge(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def mixture(docs: DataFrame, domain=None, share: float = SHARE, domain_weights=None, lang_weights=None, source_weights=None, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
-    """(doc_id, digest, domain, lang, source, tokens, copies): the selected rows and how often each occurs in the mixture.
+    """(doc_id, k, digest, domain, lang, source, tokens, copies): the selected rows and how often each occurs in the mixture.
 
     ``share`` of the corpus's tokens (words) is the budget.  Null domains,
     languages and sources are named "none".  A null text has no tokens; rows
-    without tokens are never selected.  Rows that repeat doc_id and text are
+    without tokens are never selected.  Languages other than those of
+    ``LANG_WEIGHTS``, null ones too, each have the weight of ``OTHER``.  Rows that repeat doc_id and text are
     rows of their own, ordered alike.  The prefix ends before the first document
     that would pass the leaf's budget.  An empty table gives no rows.  Columns
     other than doc_id, text, lang, source and those of ``domain`` are not read.
@@ -107,7 +113,7 @@ def mixture(docs: DataFrame, domain=None, share: float = SHARE, domain_weights=N
     doc = F.col("doc_id").cast("long")
     name = lambda c: F.coalesce(c, F.lit("none"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("digest"), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), word_count(text).cast("long").alias("tokens"))
+    rows = docs.select(doc.alias("doc_id"), *row_key(doc, text), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), word_count(text).cast("long").alias("tokens"))
     rows = save(rows.where("tokens > 0"), "sizes")
     sums = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("total")).limit(MAX_LEAVES + 1).collect()
     if len(sums) > MAX_LEAVES:
@@ -126,8 +132,8 @@ def mixture(docs: DataFrame, domain=None, share: float = SHARE, domain_weights=N
     fine = _edge(fine.withColumn("part", F.col("bucket")).drop("edge"), half).withColumnRenamed("edge", "last")
     found = keyed.join(F.broadcast(coarse.select(*LEVELS, "edge")), list(LEVELS), "left").join(F.broadcast(fine.select(*LEVELS, "last", "before")), list(LEVELS), "left")
     inside = found.where("bucket = last")
-    nth = Window.partitionBy(*LEVELS).orderBy("order", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    nth = Window.partitionBy(*LEVELS).orderBy("order", "digest", "k").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("run", F.sum("tokens").over(nth)).withColumn("extra", (F.col("before") + F.col("run") <= F.col("rest")).cast("long"))
     clear = found.where("last is null or bucket != last").withColumn("extra", F.coalesce((F.col("bucket") < F.col("last")).cast("long"), F.lit(1)))
-    cols = ["doc_id", "digest", *LEVELS, "tokens", (F.col("whole") + F.col("extra")).alias("copies")]
+    cols = ["doc_id", "k", "digest", *LEVELS, "tokens", (F.col("whole") + F.col("extra")).alias("copies")]
     return clear.select(*cols).unionByName(inside.select(*cols)).where("copies > 0")

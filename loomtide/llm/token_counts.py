@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm.bpe import byte_chars
-from loomtide.llm.shared import small_batches, tidied
+from loomtide.llm.shared import slices, tidied
 
 END = "\n"  # ends a word; no byte character is a line feed
 CACHE_WORDS = 100_000
+PART = 1 << 20  # characters of a text whose words are held at a time; parts end at spaces
 WORDS = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -103,10 +104,19 @@ def word_counts(path: str) -> WordCounts:
     return WordCounts(read_vocabulary(path))
 
 
+def parts(text: str, size: int = PART):
+    """``text`` in parts of about ``size`` characters that end before a space, which no word holds."""
+    space, at = regex.compile(r"\s"), 0
+    while len(text) - at > size and (m := space.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = WORDS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_tokens.
 
-    Words are the matches of ``pattern`` in the lower-cased whole text; a word's
+    Words are the matches of ``pattern``, which hold no spaces, in the lower-cased whole text; a word's
     tokens are its greedy longest-match pieces, a word without a split counts as
     one.  Null and empty texts have 0 of both; repeats and null doc_ids stay; an
     empty table gives no rows.  Other columns are not read.
@@ -114,16 +124,19 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         find, counts = regex.compile(pattern).findall, word_counts(path)
-        for b in batches:
+        for b in slices(batches, 1):
             words, tokens = [], []
             for text in b.column(1):
-                found = find(text.as_py().lower())
-                words.append(len(found))
-                tokens.append(sum(map(counts.__getitem__, found)))
-                if len(counts) > CACHE_WORDS:
-                    counts.clear()
+                n_words = n_tokens = 0
+                for part in parts(text.as_py()):
+                    found = find(part.lower())
+                    n_words += len(found)
+                    n_tokens += sum(map(counts.__getitem__, found))
+                    if len(counts) > CACHE_WORDS:
+                        counts.clear()
+                words.append(n_words)
+                tokens.append(n_tokens)
             yield pa.record_batch([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(tidied(run), "doc_id long, n_words long, n_tokens long")

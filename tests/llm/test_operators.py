@@ -11,20 +11,20 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
 from loomtide.llm import audio, mixing
 from loomtide.llm import jaccard_join as J
-from loomtide.llm.bpe import bpe_codes, bpe_roundtrip
+from loomtide.llm.bpe import bpe_codes, bpe_roundtrip, byte_chars
 from loomtide.llm.components import components
 from loomtide.llm.exact_dedup import exact_dedup
 from loomtide.llm.line_dedup import line_dedup
 from loomtide.llm.quality import quality_scores
-from loomtide.llm.queries import QUERIES
 from loomtide.llm.substring_dedup import substring_dedup
 from loomtide.llm.token_counts import END, Matcher, read_vocabulary, token_counts
-from loomtide.llm.toxicity import train, toxicity
+from loomtide.llm.toxicity import LabelModel, distinct_rows, toxicity, train
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, name string, h long, u string, node string, label string, size string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -138,17 +138,53 @@ def test_jaccard_join_for_any_number_of_partitions(spark, partitions):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, 3, 90)
 
 
-def test_lists_emit_every_key():
-    plan, text = J.Plan(90, 100), pa.array([" ".join(f"w{i}-{k}" for k in range(12)) for i in range(200)])
+def test_lists_hold_every_key(monkeypatch):
+    """Runs of any length hand on the same keys and tie the same sets."""
+    plan, text = J.Plan(90, 100), pa.array([" ".join(f"w{i % 150}-{k}" for k in range(12)) for i in range(200)])
 
     class Told:
         value = np.zeros(0, np.uint64)
 
-    def emitted(buckets):
-        out = list(J._lists(plan, 3, buckets, Told)([pa.record_batch([text], ["text"])]))
-        return sum(len(x) // 8 for b in out for x in b.column(1).to_pylist())
+    def listed(keys):
+        monkeypatch.setattr(J, "KEYS", keys)
+        out = pa.Table.from_batches(J._lists(plan, 3, Told)(pa.record_batch([text.slice(at, 20)], ["text"]) for at in range(0, 200, 20)))
+        return {k for k in out.column("key").to_pylist() if k is not None}
 
-    assert {emitted(n) for n in (1, 3, 12, 24, 800)} == {emitted(4)} and emitted(4) > 0
+    assert listed(1) == listed(1000) == listed(10**6) and len(listed(1)) > 150
+
+
+def test_one_family_of_many_blocks(spark):
+    """A family of unlike near copies is verified in many small groups, whatever the number of shuffle partitions."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: k % 60], f"e{k}", *base[k % 60 + 1 :]])) for k in range(400)]
+    got = J.jaccard_components(table(spark, rows), 3, 80, 100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, 3, 80)
+    assert len({r.component_id for r in got}) < 10
+
+
+def test_blocks_travel_whole():
+    rng = np.random.default_rng(0)
+    sets = [np.sort(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 7, 300)]
+    block = J.Block(np.array([5, 6, 7]), np.array([1, 2, 3]), sets)
+    again = J.Block.unpacked(block.packed())
+    assert again.node.tolist() == [5, 6, 7] and again.copies.tolist() == [1, 2, 3] and all((a == b).all() for a, b in zip(again.tokens, sets, strict=True))
+
+
+def test_long_words_and_texts_hash_alike():
+    """Words and shingles don't depend on the chunk that a text is hashed in."""
+    from loomtide.llm import textnum as tn
+
+    text = " ".join(f"w{k}" for k in range(400_000)) + " " + "x" * (3 << 20) + " end"
+    data = np.frombuffer(text.encode(), np.uint8)
+    h, n = tn.words(data, np.array([0, len(data)]))
+    assert n.tolist() == [400_002]
+    for k in (0, 1234, 399_999, 400_001):
+        word = np.frombuffer(text.split(" ")[k].encode(), np.uint8)
+        assert tn.words(word, np.array([0, len(word)]))[0][0] == h[k]
+    value = 0
+    for c in reversed(b"x" * (3 << 20)):
+        value = (value * tn._BASE + int(tn._VALUE[c])) % (1 << 64)
+    assert tn.mix(np.array([value], np.uint64))[0] == h[400_000]
 
 
 def test_lists_lose_no_pair():
@@ -237,22 +273,6 @@ def test_audio(spark):
     assert audio.segments(np.array([0, 0, 9, 5, 4, 0, 0, 8], np.float32)) == [(2, 5), (7, 8)]
 
 
-def test_repeats(spark):
-    rows = [(1, "alpha beta gamma delta eps\nsame line of many words here\nlast"), (2, "Same  LINE of many words here\nother line with five words"), (3, "a\nb\nc\nd\nq"), (4, "x\nb\nc\nd\ny\nz"), (5, "b\nc\nd\nb\nc\nd")]
-    got = {r.doc_id: r for r in substring_dedup(table(spark, rows)).collect()}
-    assert got[1].n_repeats == 0 and got[2].text == "other line with five words" and got[2].spans[0].first == 0
-    got = {r.doc_id: r for r in line_dedup(table(spark, rows)).collect()}
-    assert [got[i].text for i in (3, 4)] == ["a\nb\nc\nd\nq", "x\ny\nz"] and got[5].n_repeats == 2 and got[5].n_spans == 2 and got[5].text == ""
-
-
-def test_short_lines_and_lines_without_spaces_repeat(spark, tmp_path):
-    long = "これは空白のない長い行です" * 20
-    rows = [(1, f"Read more\n{long}\none of its own"), (2, f"another\nread  MORE\n{long}\nend"), (3, "Read more\nlast")]
-    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()}
-    assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], "another\nend", "last"] and [got[i].n_repeats for i in (1, 2, 3)] == [0, 2, 1]
-
-
 def test_mixing(spark):
     assert mixing.share_out(100, {"a": (0.5, 10), "b": (0.25, 1000), "c": (0.25, 1000)}) == {"a": 10, "b": 45, "c": 45}
     leaves = {("d", "en", "s1"): 100, ("d", "en", "s2"): 1000, ("d", "fr", "s1"): 1000}
@@ -266,6 +286,95 @@ def test_mixing(spark):
         assert goal - 7 <= (part.tokens * part.copies).sum() <= goal
 
 
+def test_label_model_against_its_definition():
+    """Posteriors are Bayes' rule over the voters' tables; independent voters' accuracies are found without labels."""
+    rng = np.random.default_rng(4)
+    y = rng.random(20_000) < 0.2
+    right = [0.95, 0.9, 0.8, 0.85]
+    v = np.stack([np.where(rng.random(len(y)) < 0.3, 0, np.where(rng.random(len(y)) < a, 1, -1) * np.where(y, 1, -1)) for a in right], 1)
+    model = LabelModel().fit(v, 0.2)
+    for row in v[:50]:
+        p = [1 - model.prior, model.prior]
+        for k, vote in enumerate(row):
+            for label in (0, 1):
+                p[label] *= model.table[label][vote + 1][k] ** model.weight[k]
+        assert abs(1 / (1 + np.exp(-model.evidence(row[None]))[0]) - p[1] / sum(p)) < 1e-9
+    for k, a in enumerate(right):
+        said = model.table[1][:, k]
+        assert abs(said[2] / (said[0] + said[2]) - a) < 0.04 and abs(said[1] - 0.3) < 0.02
+    assert ((model.posterior > 0.5) == y).mean() > 0.95
+
+
+def test_near_copies_count_once():
+    rows = [" ".join(f"{chr(97 + k % 26)}{'abcdefgh'[k // 26]}word" for k in range(50)), "a different text of its own words"]
+    assert distinct_rows([rows[0], rows[0] + " more", rows[1], rows[1].upper(), "", "", "a different text of other things"]) == [0, 2, 4, 6]
+
+
+def test_mixing_against_a_plain_sort(spark):
+    """The chosen rows are the prefixes that a sort and a running sum of each leaf give; unlisted languages have their weight."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', int(1 + id * 7 % 11))").alias("text"), F.expr("array('en','fr','de','es','it',null)[id % 6]").alias("lang"), F.concat(F.lit("src"), (F.col("id") % 5).cast("string")).alias("source"))
+    got = {r.doc_id: r for r in mixing.mixture(docs, share=0.6, max_epochs=2).collect()}
+    rows = mixing.mixture(docs, share=1.0, domain_weights={}, lang_weights={}, max_epochs=1).collect()
+    assert len(rows) == 3000
+    leaves = collections.defaultdict(list)
+    for r in rows:
+        leaves[r.domain, r.lang, r.source].append(r)
+    total = {k: sum(r.tokens for r in v) for k, v in leaves.items()}
+    weights = (mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, {})
+    goal = mixing.budgets(total, int(0.6 * sum(total.values())), weights, 2)
+    assert {k[1] for k, n in goal.items() if n} == {"en", "fr", "de", "es", "it", "none"}
+    for leaf, members in leaves.items():
+        whole, rest = divmod(goal[leaf], total[leaf])
+        order = spark.createDataFrame([(r.doc_id, r.digest) for r in members], "doc_id long, digest long").select("doc_id", F.xxhash64(F.lit("mix"), F.lit(whole).cast("long"), F.col("digest")).alias("o")).collect()
+        place = {r.doc_id: r.o % (1 << 64) for r in order}
+        run, past = 0, False
+        for r in sorted(members, key=lambda r: place[r.doc_id]):
+            run += r.tokens
+            past = past or run > rest
+            want = whole + (not past)
+            assert (got[r.doc_id].copies if r.doc_id in got else 0) == want
+
+
+def test_token_counts_of_whole_texts(spark):
+    """The query's counts against a greedy split of every word, over long and odd texts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces, chars = set(read_vocabulary(path)), byte_chars()
+    rows = [*[(i, t) for i, t in TEXTS if i], (60, "Word, 12 words!\u00a0and—more " * 3000), (61, "ab" * 4000)]
+
+    def greedy(word):
+        word = "".join(chars[b] for b in word.encode()) + END
+        n = at = 0
+        while at < len(word):
+            end = next((z for z in range(min(len(word), at + 80), at, -1) if word[at:z] in pieces), None)
+            if end is None:
+                return 1
+            at, n = end, n + 1
+        return n
+
+    for r in token_counts(table(spark, rows), path).collect():
+        words = regex.findall(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", (dict(rows)[r.doc_id] or "").lower())
+        assert (r.n_words, r.n_tokens) == (len(words), sum(map(greedy, words)))
+
+
+def test_parts_hold_whole_words():
+    from loomtide.llm.token_counts import parts
+
+    text = "some words and_a_very_long_one " * 50
+    for size in (1, 7, 40, 10_000):
+        cut = list(parts(text, size))
+        assert "".join(cut) == text and all(regex.findall(r"\S+", text) == sum((regex.findall(r"\S+", p) for p in cut), []) for _ in (0,))
+
+
+def test_long_texts_encode_alike():
+    from loomtide.llm import bpe
+
+    c = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "It's  a text, 123 of\n\n words " * 500
+    whole = c.encode([text])[0]
+    c.cache.clear()
+    assert c._encode_long(text) == whole and c.decode(whole) == text.encode()
+
+
 def test_toxicity_and_quality(spark):
     sf = "/root/testdata/sf0.01"
     docs, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
