@@ -15,20 +15,21 @@ from loomtide.llm.exact_dedup import exact_dedup
 from loomtide.llm.jaccard_join import jaccard_components, text_digest
 from loomtide.llm.mixing import mixture
 from loomtide.llm.quality import quality_scores
-from loomtide.llm.shared import bounded, documents, lower_ascii, save
+from loomtide.llm.shared import bounded, documents, lower_ascii, row_key, save
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_digest(docs):
-    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("digest"))
+def _keyed(docs):
+    """The rows with the name that stages give them: by doc_id and text."""
+    return docs.select(*COLUMNS, *row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
 
 
 def quality(spark, docs, sf_dir):
     """Rows that the quality classifier rejects go; rows without text go."""
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = save(scores.where(~F.col("kept")).select("digest").distinct(), "rejected")
-    return _with_digest(docs).join(bounded(rejected), "digest", "left_anti").select(*COLUMNS)
+    rejected = save(scores.where(~F.col("kept")).select("k", "digest").distinct(), "rejected")
+    return _keyed(docs).join(bounded(rejected), ["k", "digest"], "left_anti").select(*COLUMNS)
 
 
 def _named(doc, sha):
@@ -73,15 +74,13 @@ def near(spark, docs, sf_dir):
 
 def mix(spark, docs, sf_dir):
     """The documents of the mixture; none is repeated, so each leaf gives one epoch at most."""
-    chosen = save(mixture(docs, max_epochs=1).select("digest").distinct(), "chosen")
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").cast("long"), text).alias("digest"))
-    return keyed.join(bounded(chosen), "digest", "left_semi").select(*COLUMNS)
+    chosen = save(mixture(docs, max_epochs=1).select("k", "digest").distinct(), "chosen")
+    return _keyed(docs).join(bounded(chosen), ["k", "digest"], "left_semi").select(*COLUMNS)
 
 
 def tokens(spark, docs, sf_dir):
     """Token counts and digests of ids and of decoded bytes."""
-    return bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return save(bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "tokens")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("tokens", tokens)]
