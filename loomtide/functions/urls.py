@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,11 +54,28 @@ def bare_host(u: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """Anchored regular expression of a glob; ``*`` also crosses slashes."""
-    out, i = [], 0
+    """Anchored regular expression of a glob; ``*`` also crosses slashes.
+
+    ``{a,b}`` stands for either part, which may hold globs, and a backslash takes
+    the next character as it is.  Raises ValueError for braces that don't match.
+    """
+    out, i, depth = [], 0, 0
     while i < len(pattern):
         c = pattern[i]
-        if c == "*":
+        if c == "\\":
+            if i + 1 == len(pattern):
+                raise ValueError(f"nothing after the backslash in {pattern!r}")
+            i += 1
+            out.append(re.escape(pattern[i]))
+        elif c == "{":
+            depth += 1
+            out.append("(?:")
+        elif c == "}" and depth:
+            depth -= 1
+            out.append(")")
+        elif c == "," and depth:
+            out.append("|")
+        elif c == "*":
             out.append(".*")
         elif c == "?":
             out.append(".")
@@ -66,9 +86,19 @@ def glob_regex(pattern: str) -> str:
         else:
             out.append(re.escape(c))
         i += 1
+    if depth:
+        raise ValueError(f"an open brace in {pattern!r}")
     return "^" + "".join(out) + "$"
 
 
+def _check_pattern(value: str) -> None:
+    """Raises ValueError for a pattern that the JVM, which runs it, doesn't take."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(value)
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        raise ValueError(f"bad pattern {value!r}: {e}") from e
+
+
 def rule(text: str, url: Column) -> Column:
     """A ``kind:value`` rule as a predicate; raises ValueError for an unknown kind, an empty value or a bad pattern."""
     kind, sep, value = text.partition(":")
@@ -83,10 +113,7 @@ def rule(text: str, url: Column) -> Column:
     if kind == "glob":
         return url.rlike(glob_regex(value))
     if kind == "regex":
-        try:
-            re.compile(value)
-        except re.error as e:
-            raise ValueError(f"bad pattern in {text!r}: {e}") from e
+        _check_pattern(value)
         return url.rlike(value)
     if kind == "prefix":
         return url.startswith(value)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.operators.shared import cut
+
 MAX_DEPTH = 64
 
 
@@ -13,14 +15,15 @@ def closure(tree: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
     One join a level until no node has a parent left; a cycle ends at ``max_depth``.
     """
-    spark = tree.sparkSession
-    tree.select("id", "parent_id").createOrReplaceTempView("loomtide_tree")
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor, up) AS (
-            SELECT id, id, 0 FROM loomtide_tree
-            UNION ALL
-            SELECT u.id, t.parent_id, u.up + 1 FROM up u JOIN loomtide_tree t ON t.id = u.ancestor WHERE t.parent_id IS NOT NULL AND u.up < {max_depth - 1})
-        SELECT id, ancestor, up FROM up""")
+    above = cut(tree.where("parent_id IS NOT NULL").select(F.col("id").alias("ancestor"), "parent_id"))
+    level = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("up"))
+    out = level
+    for up in range(1, max_depth):
+        level = cut(level.join(above, "ancestor").select("id", F.col("parent_id").alias("ancestor"), F.lit(up).alias("up")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
 
 
 def count_tree(tree: DataFrame, links: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ TABLES = {
     "revisions": "id long, created_at timestamp, status string, changes string, undo string, decision_keys array<string>",
     "moves": "revision long, step long, page_id long, raw_tag string, from_id long, to_id long",
     "tag_decisions": "key string, decision string, source string, created_at timestamp",
+    "batches": "name string",
+    "files": "path string, size long, modified timestamp",
 }
 
 STATUSES = ["pending", "done", "failed", "unreachable"]
@@ -50,7 +52,7 @@ class State:
         if text is None:
             if read_only:
                 raise SchemaError(f"no archive in {root}")
-            self.manifest = {"schema": SCHEMA_VERSION, "version": 0, "tables": {}, "next_id": {}, "batches": []}
+            self.manifest = {"schema": SCHEMA_VERSION, "version": 0, "tables": {}, "next_id": {}}
         else:
             self.manifest = json.loads(self._read(text.strip()))
             self._check()
@@ -96,8 +98,10 @@ class State:
         """Writes the given tables and makes them current together.  A ``batch`` name that was committed before is skipped."""
         if self.read_only:
             raise PermissionError("the archive was opened for reading")
-        if batch is not None and batch in self.manifest["batches"]:
-            return
+        if batch is not None:
+            if self.committed(batch):
+                return
+            tables["batches"] = self.table("batches").unionByName(self.spark.createDataFrame([(batch,)], "name string"))
         found = self._read("CURRENT")
         if (found or "").strip() != (self.manifest.get("name") or ""):
             raise RuntimeError("another writer changed the archive")
@@ -111,8 +115,6 @@ class State:
             new["tables"][name] = folder
         new["next_id"] |= next_id or {}
         new["schema"] = schema or new["schema"]
-        if batch is not None:
-            new["batches"] = [*new["batches"], batch][-1000:]
         new["name"] = f"manifest-{tag}.json"
         self._write(new["name"], json.dumps(new))
         self._write("CURRENT.next", new["name"])
@@ -122,6 +124,10 @@ class State:
         context.rename(self._path(f"{self.root}/CURRENT.next"), self._path(f"{self.root}/CURRENT"), options)
         self.manifest = new
 
+    def committed(self, batch: str) -> bool:
+        """Whether a batch of this name was ever committed."""
+        return batch in self.manifest.get("batches", ()) or not self.table("batches").where(F.col("name") == batch).isEmpty()
+
     def next_id(self, name: str) -> int:
         """The id that the next row gets; ids of deleted rows aren't given again."""
         return self.manifest["next_id"].get(name, 1)

@@ -1,12 +1,14 @@
 """Pages as a stream: a landing folder of lists or results, committed once a batch to the state directory.
 
-A batch that was committed before a crash is recognised by its name and
-skipped, so that a restart neither loses nor repeats a page.  Each batch sees
-the tags of those before it.
+The files of a batch are committed together with its rows, so that a restart
+neither loses nor repeats a page, also with a lost checkpoint or another number
+of files a batch: a file is known by path, size and time.  Each batch sees the
+tags of those before it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +17,17 @@ from pyspark.sql import functions as F
 from loomtide.functions import text as T
 from loomtide.functions import urls as U
 from loomtide.operators.resolution import BATCH_PAGES, known_names, resolve
-from loomtide.operators.shared import collect_bounded
+from loomtide.operators.shared import bounded, collect_bounded, cut
 from loomtide.sources.state import State, insert_or_ignore, save_results
 
 RESULTS = "url string, status string, error string, error_kind string, title string, summary string, lang string, page_title string, tags array<string>, new_tags array<struct<name:string,description:string>>"
 
 
-def save_batch(state: State, rows: DataFrame, name: str, max_per_page: int = 5, max_new: int = 3) -> None:
-    """Commits a batch of RESULTS rows for known pages; several rows of a url count as one, the last by title and summary.
+_FILE = ["path", "size", "modified"]
+
+
+def save_batch(state: State, rows: DataFrame, name: str, max_per_page: int = 5, max_new: int = 3, files: DataFrame | None = None) -> None:
+    """Commits a batch, and the ``files`` that it came from, of RESULTS rows for known pages; several rows of a url count as one, the last by title and summary.
 
     Pages that couldn't be read or summarised get one reserved tag that tells so.
     """
@@ -51,8 +56,10 @@ def save_batch(state: State, rows: DataFrame, name: str, max_per_page: int = 5,
     tags = spark.createDataFrame(got.tags, "id long, name string, description string").withColumns({"locked": F.lit(False), "placed": F.lit(False), "created_at": now})
     aliases = spark.createDataFrame(got.aliases, "alias string, tag_id long").withColumns({"source": F.lit("rule"), "locked": F.lit(False), "created_at": now})
     results = rows.select("id", "status", "error", "error_kind", "title", "summary", F.nullif(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "page_title").withColumn("processed_at", now)
+    known = {} if files is None else {"files": state.table("files").unionByName(files)}
     state.commit(
         batch=name,
+        **known,
         next_id={"tags": got.next_id},
         tags=state.table("tags").unionByName(tags, allowMissingColumns=True),
         tag_aliases=insert_or_ignore(state.table("tag_aliases"), aliases, ["alias"]),
@@ -80,10 +87,16 @@ def ingest_urls(spark: SparkSession, landing: str, root: str, checkpoint: str, a
 def ingest_results(spark: SparkSession, landing: str, root: str, checkpoint: str, files: int = 1, max_per_page: int = 5, max_new: int = 3) -> None:
     """Saves RESULTS rows of JSON files in a landing folder, a batch at a time; one batch holds at most 20,000 pages."""
     stream = spark.readStream.schema(RESULTS).option("maxFilesPerTrigger", files).json(landing)
+    source = [F.col(f"_metadata.file_{c}").alias(f"_{n}") for c, n in (("path", "path"), ("size", "size"), ("modification_time", "modified"))]
+    stream = stream.select("*", *source)
 
     def each(batch: DataFrame, number: int) -> None:
-        state, name = State(batch.sparkSession, root), f"results-{number}"
-        if name not in state.manifest["batches"]:
-            save_batch(state, batch, name, max_per_page, max_new)
+        state = State(batch.sparkSession, root)
+        found = batch.select(*(F.col(f"_{n}").alias(n) for n in _FILE)).distinct()
+        new = cut(found.join(state.table("files"), _FILE, "left_anti"))
+        if new.isEmpty():
+            return
+        rows = batch.join(bounded(new), [F.col(f"_{n}") == new[n] for n in _FILE], "left_semi").drop(*(f"_{n}" for n in _FILE))
+        save_batch(state, rows, f"results-{uuid.uuid4().hex}", max_per_page, max_new, files=new)
 
     _run(stream, checkpoint, each)

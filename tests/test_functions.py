@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomtide.functions import text as T
 from loomtide.functions import urls as U
 from loomtide.functions.html import readable
+from loomtide.operators.hierarchy import closure
 
 
 def value(spark, column):
@@ -63,3 +64,19 @@ def test_text(spark):
     assert value(spark, T.display_title(F.lit("—"), F.lit("Own"))) == "Own"
     assert [value(spark, T.duration(F.lit(s))) for s in (5.4, 75.0, 6120.0)] == ["5s", "1m 15s", "1h 42m"]
     assert readable("<nav>menu</nav><article><p>One</p>two<script>x</script></article>") == "One\ntwo"
+
+
+def test_globs_and_patterns(spark):
+    url = spark.createDataFrame([(u,) for u in ("https://a.org/x.html", "https://b.org/x.htm", "https://c.org/x*y", "https://a.org/{z}")], "u string")
+    found = lambda r: [x.u[8] for x in url.where(U.rule(r, F.col("u"))).collect()]
+    assert found("glob:https://{a,b}.org/*.htm{,l}") == ["a", "b"] and found("glob:*/x\\*y") == ["c"] and found("glob:*/\\{?\\}") == ["a"]
+    assert found("glob:https://{a,{b,c}}.org/x*") == ["a", "b", "c"]
+    for bad in ("glob:{a,b", "glob:a\\", "regex:(?P<x>a)", "regex:["):
+        with pytest.raises(ValueError):
+            U.rule(bad, F.col("u"))
+
+
+def test_closure_of_a_deep_tree(spark):
+    tree = spark.createDataFrame([(k, k - 1 if k else None, f"n{k}") for k in range(12)] + [(50, 51, "a"), (51, 50, "b")], "id long, parent_id long, name string")
+    got = closure(tree, max_depth=20).where("id < 50").collect()
+    assert sorted((r.id, r.ancestor, r.up) for r in got) == sorted((k, a, k - a) for k in range(12) for a in range(k + 1))

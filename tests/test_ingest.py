@@ -36,3 +36,35 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted((urls_by_id[r["page_id"]][-1], names[r["resolved_tag_id"]]) for r in s.table("page_tags").collect()) == [("1", "chess"), ("1", "unknown-thing"), ("2", "status/unreachable"), ("3", "chess"), ("3", "unknown-thing")]
     assert [(r["alias"], names[r["tag_id"]]) for r in s.table("tag_aliases").collect()] == [("un-known-thing", "unknown-thing")]
     assert s.status_counts() == {"pending": 1, "done": 2, "failed": 0, "unreachable": 1}
+
+
+def test_other_batches_after_a_lost_checkpoint(spark, tmp_path):
+    """Files are taken once, however they are dealt into batches: none is lost and none is applied again."""
+    results, root = tmp_path / "results", str(tmp_path / "a")
+    results.mkdir()
+    state = State(spark, root)
+    state.add_pages(spark.createDataFrame([(k, f"http://h/{k}", f"http://h/{k}", None) for k in range(6)], "line_no long, url string, original_url string, title string"))
+    row = lambda k, title: {"url": f"http://h/{k}", "status": "done", "title": title, "summary": "s", "tags": [f"tag {k}"]}
+    for k in range(3):
+        _drop(results, f"{k}.json", [row(k, "old")])
+    ingest_results(spark, str(results), root, str(tmp_path / "c1"), files=1)
+    found = State(spark, root)
+    assert found.status_counts()["done"] == 3 and found.table("files").count() == 3
+    version = found.manifest["version"]
+    for k in range(3, 6):
+        _drop(results, f"{k}.json", [row(k, "new"), row(0, "again")])
+    ingest_results(spark, str(results), root, str(tmp_path / "c2"), files=4)  # batch 0 now holds other files
+    found = State(spark, root)
+    assert found.status_counts()["done"] == 6 and found.table("files").count() == 6
+    ingest_results(spark, str(results), root, str(tmp_path / "c3"), files=2)
+    assert State(spark, root).manifest["version"] == found.manifest["version"] == version + 2
+
+
+def test_old_batch_names_are_not_forgotten(spark, tmp_path):
+    state = State(spark, str(tmp_path / "b"))
+    state.commit(batch="first")
+    state.commit(batches=state.table("batches").unionByName(spark.range(1001).selectExpr("concat('b', id) AS name")))
+    state.commit(batch="later", next_id={"tags": 7})
+    state.commit(batch="first", next_id={"tags": 9})
+    state.commit(batch="b500", next_id={"tags": 9})
+    assert state.next_id("tags") == 7
