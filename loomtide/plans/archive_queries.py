@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtide.functions import text as T
 from loomtide.functions import urls as U
+from loomtide.operators.changes import apply_changes, undo_last
+from loomtide.operators.shared import checkpoint_folder, collect_bounded
 from loomtide.plans import tables
 from loomtide.plans.registry import registry
 from loomtide.plans.scalar_queries import _DECODED, HOST_SQL
 from loomtide.plans.tables import read
+from loomtide.sources.state import State
 
 QUERIES, ORACLE_SQL, query = registry()
 WITH = f"WITH {tables.SQL}"
@@ -203,29 +208,58 @@ def _plural_merges(spark, sf_dir):
     return names.select(F.col("name").alias("old"), F.concat("name", F.lit("s")).alias("new")).join(names.select(F.col("name").alias("new")), "new")
 
 
-@query(f"{_MERGED} SELECT DISTINCT page_id, pos, raw, coalesce(m.new, name) AS tag FROM page_tags LEFT JOIN m ON m.old = name")
+def _archive(spark, sf_dir) -> State:
+    """An archive directory of its own with the tags and links of the example."""
+    state = State(spark, f"{checkpoint_folder(spark).rstrip('/')}/archive-{uuid.uuid4().hex}")
+    used = tables.page_tags(spark, sf_dir).select("page_id", F.col("raw").alias("raw_tag"), "name").distinct()
+    tags, following = state.numbered("tags", used.select("name").distinct(), ["name"])
+    plain = {"parent_id": F.lit(None), "description": F.lit(None), "locked": F.lit(False), "created_at": F.current_timestamp(), "placed": F.lit(False)}
+    links = used.join(tags.select("name", F.col("id").alias("resolved_tag_id")), "name")
+    state.commit(tags=tags.withColumns(plain), page_tags=links, next_id={"tags": following})
+    return state
+
+
+def _tagged(state: State):
+    names = state.table("tags").select(F.col("id").alias("resolved_tag_id"), F.col("name").alias("tag"))
+    return state.table("page_tags").join(names, "resolved_tag_id").select("page_id", F.col("raw_tag").alias("raw"), "tag")
+
+
+def _merged(spark, sf_dir) -> State:
+    state = _archive(spark, sf_dir)
+    pairs = collect_bounded(_plural_merges(spark, sf_dir).orderBy("old"), "merges")
+    failed = apply_changes(state, [{"op": "merge", "from": r["old"], "into": r["new"]} for r in pairs])
+    if failed:
+        raise ValueError(f"merges failed: {failed[:3]}")
+    return state
+
+
+@query(f"{_MERGED} SELECT DISTINCT page_id, raw, coalesce(m.new, name) AS tag FROM page_tags LEFT JOIN m ON m.old = name")
 def merge_apply(spark, sf_dir):
-    """Singular tags merged into their plurals: rows change their tag, never their raw text."""
-    tags = tables.page_tags(spark, sf_dir).join(_plural_merges(spark, sf_dir), F.col("old") == F.col("name"), "left")
-    return tags.select("page_id", F.col("pos").cast("long").alias("pos"), "raw", F.coalesce("new", "name").alias("tag")).distinct()
+    """Singular tags merged into their plurals in an archive: rows change their tag, never their raw text."""
+    return _tagged(_merged(spark, sf_dir))
 
 
-@query(f"{WITH} SELECT DISTINCT page_id, pos, raw, name AS tag FROM page_tags")
+@query(f"{WITH} SELECT DISTINCT page_id, raw, name AS tag FROM page_tags")
 def undo_merge(spark, sf_dir):
-    """The merge's recorded rows go back: the state before it."""
-    after = merge_apply(spark, sf_dir)
-    log = tables.page_tags(spark, sf_dir).join(_plural_merges(spark, sf_dir), F.col("old") == F.col("name")).select("page_id", F.col("pos").cast("long").alias("pos"), "old", "new")
-    back = after.join(log, ["page_id", "pos"], "left")
-    return back.select("page_id", "pos", "raw", F.when(F.col("tag") == F.col("new"), F.col("old")).otherwise(F.col("tag")).alias("tag")).distinct()
+    """The same merges, undone from the revision that the archive recorded: the state before them."""
+    state = _merged(spark, sf_dir)
+    undo_last(state)
+    return _tagged(state)
 
 
 @query(f"""{WITH}, big AS (SELECT name FROM tag_counts ORDER BY pages DESC, name LIMIT 1)
     SELECT DISTINCT page_id, CASE WHEN name IN (SELECT name FROM big) THEN name || CASE WHEN page_id % 2 = 0 THEN '-even' ELSE '-odd' END ELSE name END AS tag FROM page_tags""")
 def split_apply(spark, sf_dir):
-    """The most used tag divided in two; every page of it goes to a part."""
-    big = tables.tag_counts(spark, sf_dir).orderBy(F.desc("pages"), "name").limit(1).select("name", F.lit(True).alias("big"))
-    part = F.concat("name", F.when(F.col("page_id") % 2 == 0, "-even").otherwise("-odd"))
-    return tables.page_tags(spark, sf_dir).join(F.broadcast(big), "name", "left").select("page_id", F.when(F.col("big"), part).otherwise(F.col("name")).alias("tag")).distinct()
+    """The most used tag of an archive divided in two; every page of it goes to a part."""
+    state = _archive(spark, sf_dir)
+    big = tables.tag_counts(spark, sf_dir).orderBy(F.desc("pages"), "name").first()
+    if big is not None:
+        pages = [r["page_id"] for r in collect_bounded(_tagged(state).where(F.col("tag") == big["name"]).select("page_id").distinct(), "pages of a tag")]
+        parts = [{"name": f"{big['name']}-{kind}", "pages": [p for p in pages if p % 2 == n]} for n, kind in enumerate(("even", "odd"))]
+        failed = apply_changes(state, [{"op": "split", "tag": big["name"], "parts": [p for p in parts if p["pages"]]}])
+        if failed:
+            raise ValueError(f"the split failed: {failed}")
+    return _tagged(state).select("page_id", "tag").distinct()
 
 
 @query(f"""{WITH}, l AS (SELECT DISTINCT page_id, name FROM page_tags WHERE status = 'done'), c AS (SELECT name, count(*) AS n FROM l GROUP BY name)
