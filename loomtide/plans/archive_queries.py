@@ -4,20 +4,33 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomtide.functions import replies as R
 from loomtide.functions import text as T
 from loomtide.functions import urls as U
 from loomtide.operators.changes import apply_changes, undo_last
 from loomtide.operators.shared import checkpoint_folder, collect_bounded
-from loomtide.plans import tables
+from loomtide.plans import report, tables
 from loomtide.plans.registry import registry
 from loomtide.plans.scalar_queries import _DECODED, HOST_SQL
 from loomtide.plans.tables import read
 from loomtide.sources.state import State
 
 QUERIES, ORACLE_SQL, query = registry()
+def _rows(f, **kinds):
+    """A function of one row of an aggregated table, given as dicts, over Arrow batches."""
+    schema = pa.schema(list(kinds.items()))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([f(r) for r in b.to_pylist()], schema)
+
+    return run
+
+
 WITH = f"WITH {tables.SQL}"
 RECURSIVE = f"WITH RECURSIVE {tables.SQL}"
 
@@ -89,9 +102,10 @@ def status_counts(spark, sf_dir):
     WHEN code >= 400 THEN 'http_error' ELSE 'unknown' END AS kind
     FROM (SELECT 400 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 35 AS code FROM events WHERE event_type = 'error')) GROUP BY kind ORDER BY kind""")
 def failure_kinds(spark, sf_dir):
-    code = 400 + F.get_json_object("props", "$.k").cast("int") % 35
-    kind = F.when(code.isin(404, 410), "not_found").when(code.isin(401, 403, 429), "blocked").when(code >= 400, "http_error").otherwise("unknown")
-    return read(spark, sf_dir, "events").where("event_type = 'error'").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy("kind")
+    code = (400 + F.get_json_object("props", "$.k").cast("int") % 35).alias("code")
+    counts = read(spark, sf_dir, "events").where("event_type = 'error'").groupBy(code).agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.mapInArrow(_rows(lambda r: {"kind": R.fetch_error(r["code"]) if r["code"] is not None else "unknown", "n": r["n"]}, kind=pa.string(), n=pa.int64()), "kind string, n long")
+    return kinds.groupBy("kind").agg(F.sum("n").alias("n")).orderBy("kind")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE 1 END AS ok FROM events),
@@ -129,10 +143,14 @@ def usage_rollup(spark, sf_dir):
     SELECT user_id, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS DOUBLE) AS i, CAST(count(*) * 20 AS DOUBLE) AS o FROM events GROUP BY user_id)""")
 def run_cost(spark, sf_dir):
     """A local server costs nothing; a server without prices has no cost."""
-    n = F.col("user_id") % 3
-    sums = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).cast("double").alias("i"), (F.count(F.lit(1)) * 20).cast("double").alias("o"))
-    paid = F.round((F.col("i") * 0.15 + F.col("o") * 0.6) / 1_000_000, 9)
-    return sums.select("user_id", F.when(n == 0, F.lit(0.0)).when(n == 1, paid).alias("cost"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    sums = read(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.sum(k), F.lit(0)).alias("input_tokens"), (F.count(F.lit(1)) * 20).alias("output_tokens"))
+
+    def one(r):
+        found = report.cost(r, ((0.0, 0.0), (0.15, 0.6), None)[r["user_id"] % 3])
+        return {"user_id": r["user_id"], "cost": None if found is None else round(found, 9)}
+
+    return sums.mapInArrow(_rows(one, user_id=pa.int64(), cost=pa.float64()), "user_id long, cost double")
 
 
 @query(f"""{WITH}, d AS (SELECT name, pages, 3 + (length(name) % 5) AS asked FROM tag_counts)
@@ -190,14 +208,12 @@ def note_files(spark, sf_dir):
     FROM (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY user_id)""")
 def run_warnings(spark, sf_dir):
     """How many of the six threshold rules a run breaks."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    runs = read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_type", k.alias("k")).groupBy("run_id").agg(
-        F.expr("sum(k) * 40 div count(*)").alias("out_tokens"), F.expr("sum(k) * 70 div count(*)").alias("in_tokens"), (F.avg("k") / 50).alias("gpu"), F.count(F.lit(1)).alias("done"),
-        F.count_if(F.col("event_type") == "view").alias("cut"), F.count_if(F.col("event_type") == "error").alias("invalid"), F.count_if((F.col("event_type") == "signup") & (F.col("k") > 95)).alias("errors"),
+    k, kind = F.get_json_object("props", "$.k").cast("long"), F.col("event_type")
+    runs = read(spark, sf_dir, "events").withColumn("k", k).groupBy("user_id").agg(
+        (F.sum("k") * 40).alias("output_tokens"), (F.sum("k") * 70).alias("input_tokens"), (F.avg("k") / 50).alias("gpu_share"), F.count(F.lit(1)).alias("done"), F.count(F.lit(1)).alias("requests"),
+        F.count_if(kind == "view").alias("pages_cut"), F.count_if(kind == "error").alias("invalid"), F.count_if((kind == "signup") & (F.col("k") > 95)).alias("embedding_errors"), F.lit(4000).alias("context"),
     )
-    enough = F.col("done") >= 10
-    rules = [F.col("out_tokens") > 1500, F.col("in_tokens") > 0.8 * 4000, F.col("gpu") < 0.95, enough & (F.col("cut") * 10 >= F.col("done") * 3), enough & (F.col("invalid") * 10 > F.col("done")), F.col("errors") > 0]
-    return runs.select("run_id", F.size(F.filter(F.array(*rules), lambda x: x)).alias("warnings"))
+    return runs.mapInArrow(_rows(lambda r: {"run_id": r["user_id"], "warnings": len(report.warnings(r))}, run_id=pa.int64(), warnings=pa.int32()), "run_id long, warnings int")
 
 
 _MERGED = f"""{WITH}, m AS (SELECT a.name AS old, min(b.name) AS new FROM tag_counts a JOIN tag_counts b ON b.name = a.name || 's' GROUP BY a.name)"""

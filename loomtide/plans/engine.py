@@ -250,6 +250,7 @@ def finish(state: State, out: Outcome, began: dt.datetime, folder: str | None, c
     if folder:
         left = notes.render(state, os.path.join(folder, "notes"), config.notes.title).where("NOT written").count()
         write_tag_list(state, folder)
+        write_index(state, folder)
         if left:
             out.lines.append(f"{left} files aren't notes and were left alone")
     causes = report.causes(record["failures"])
@@ -270,6 +271,25 @@ def write_tag_list(state: State, folder: str) -> str:
     return path
 
 
+def write_index(state: State, folder: str) -> str:
+    """Writes ``_index.md``: every page with a note once, under the top of its main tag's path; lines pass through the driver one partition at a time."""
+    links = state.links()
+    tree = count_tree(state.table("tags").where(~F.col("name").startswith(T.RESERVED)).select("id", "parent_id", "name"), links).select("id", "path", "total")
+    main = links.join(tree, "id").groupBy(F.col("page_id").alias("id")).agg(F.min_by(F.substring_index("path", "/", 1), F.struct(-F.col("total"), "path")).alias("section"))
+    pages = state.note_pages().where("note_file IS NOT NULL").join(main, "id", "left").withColumn("section", F.coalesce("section", F.lit("Untagged")))
+    os.makedirs(folder, exist_ok=True)
+    path, section = os.path.join(folder, "_index.md"), None
+    with open(path + ".part", "w", encoding="utf-8") as f:
+        f.write("# Index\n")
+        for r in notes.index_lines(pages).toLocalIterator():
+            if r["section"] != section:
+                section = r["section"]
+                f.write(f"\n## {section}\n\n")
+            f.write(r["line"] + "\n")
+    os.replace(path + ".part", path)
+    return path
+
+
 # The review.
 
 

@@ -12,6 +12,7 @@ from loomtide.operators.hierarchy import count_tree
 from loomtide.operators.languages import detect
 from loomtide.plans.registry import registry
 from loomtide.plans.tables import read
+from loomtide.sinks import notes
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -69,13 +70,11 @@ def flat_list(spark, sf_dir):
     return nodes.select(F.col("name").alias("path"), "direct", F.col("direct").alias("total")).orderBy(F.desc("direct"), "path")
 
 
-@query(f"""{_COUNTS} SELECT id, repeat('  ', depth) || '- ' || name || ' (' || CAST(total AS VARCHAR) || CASE WHEN total = 1 THEN ' page' ELSE ' pages' END
-    || CASE WHEN direct <> total THEN ', ' || CAST(direct AS VARCHAR) || ' tagged directly' ELSE '' END || ')' AS line FROM sized JOIN paths USING (id)""")
+@query(f"""{_COUNTS} SELECT repeat('  ', depth) || '- ' || name || ' (' || CAST(total AS VARCHAR) || CASE WHEN total = 1 THEN ' page' ELSE ' pages' END
+    || CASE WHEN direct <> total THEN ', ' || CAST(direct AS VARCHAR) || ' tagged directly' ELSE '' END || ')' AS line FROM sized JOIN paths USING (id) WHERE total > 0""")
 def tags_markdown(spark, sf_dir):
-    t = count_tree(*_tree(spark, sf_dir))
-    pages = F.concat(F.col("total").cast("string"), F.when(F.col("total") == 1, " page").otherwise(" pages"))
-    direct = F.when(F.col("direct") != F.col("total"), F.concat(F.lit(", "), F.col("direct").cast("string"), F.lit(" tagged directly"))).otherwise("")
-    return t.select("id", F.concat(F.expr("repeat('  ', depth)"), F.lit("- "), "name", F.lit(" ("), pages, direct, F.lit(")")).alias("line"))
+    """The lines of the tag list, in depth-first order."""
+    return notes.tag_lines(count_tree(*_tree(spark, sf_dir))).select("line")
 
 
 @query(f"""{_COUNTS}, main AS (SELECT page_id, arg_min(split_part(path, '/', 1), [lpad(CAST(1000000000 - total AS VARCHAR), 12, '0'), path]) AS section

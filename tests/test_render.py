@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomtide.operators.hierarchy import count_tree
 from loomtide.plans import report as RP
+from loomtide.plans.engine import write_index
 from loomtide.sinks import notes as N
 from loomtide.sources.state import State
 
@@ -60,3 +61,13 @@ def test_index_lines(spark):
     rows = [(1, "Untagged", "z", "z.md"), (2, "b", "B [x]", "b x.md"), (3, "b", "a", "a.md"), (4, "z", "c", "c.md")]
     out = N.index_lines(spark.createDataFrame(rows, "id long, section string, title string, note_file string")).collect()
     assert [(r["section"], r["line"]) for r in out] == [("b", "- [a](notes/a.md)"), ("b", "- [B \\[x\\]](notes/b%20x.md)"), ("z", "- [c](notes/c.md)"), ("Untagged", "- [z](notes/z.md)")]
+
+
+def test_index_file(spark, tmp_path):
+    s = State(spark, str(tmp_path / "a"))
+    s.add_pages(spark.createDataFrame([(k, f"http://h/{k}", f"http://h/{k}", f"Title {k}") for k in (3, 1, 2)], "line_no long, url string, original_url string, title string"))
+    pages = s.table("pages").withColumn("status", F.lit("done")).withColumn("note_file", F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(".md"))).withColumn("title", F.col("browser_title"))
+    tags = spark.createDataFrame([(1, "games"), (2, "chess")], "id long, name string").selectExpr("id", "name", "if(id = 2, 1L, null) AS parent_id", "cast(null AS string) AS description", "false AS locked", "current_timestamp() AS created_at", "true AS placed")
+    s.commit(pages=pages, tags=tags, page_tags=spark.createDataFrame([(1, "chess", 2), (2, "games", 1)], "page_id long, raw_tag string, resolved_tag_id long"))
+    with open(write_index(s, str(tmp_path / "out"))) as f:
+        assert f.read() == "# Index\n\n## games\n\n- [Title 1](notes/n1.md)\n- [Title 2](notes/n2.md)\n\n## Untagged\n\n- [Title 3](notes/n3.md)\n"
