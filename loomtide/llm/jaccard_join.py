@@ -251,6 +251,38 @@ def _lists(plan: Plan, width: int, frequent):
 _LISTED = ["key", "u", "v"]
 
 
+def _tied(batches):
+    """Over rows of :func:`_lists` sorted by key and node, with any key for ties: each list's least node with its others, and the ties.
+
+    Only the last key and its least node are kept from batch to batch, so that a list may have any length.
+    """
+    at, least, pairs, held = None, None, [], 0
+
+    def told():
+        pair = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+    for b in batches:
+        key, u, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy()
+        tie = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+        pairs.append(np.stack([u[tie], v[tie]]))
+        key, u = key[~tie], u[~tie]
+        if len(key):
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            low = u[start]
+            if at is not None and key[0] == at:
+                low[0] = least
+            spread = np.repeat(low, np.diff(np.append(start, len(key))))
+            pairs.append(np.stack([spread, u])[:, spread != u])
+            at, least = key[-1], low[-1]
+        held += b.num_rows
+        if held >= KEYS:
+            yield told()
+            pairs, held = [], 0
+    if held:
+        yield told()
+
+
 def link_matrix(tokens: list[np.ndarray], num: int, den: int, cut: int | None = None) -> np.ndarray:
     """Which of these sets link with which; with ``cut``, only those before it with those from it on."""
     n = len(tokens)
@@ -394,13 +426,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     told = counts.orderBy(F.desc("n"), "node").limit(MAX_FREQUENT).select("node").toPandas()["node"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(told.astype(np.int64).view(U)))
 
-    listed = save(base.select("text").mapInArrow(tidied(_lists(plan, width, frequent)), "key long, u long, v long"), "lists")
-    keys = listed.where("key is not null").select("key", "u")
-    # of each list its least member; lists with one member tie nothing.  Plain aggregates and joins, which spill and split.
-    heads = save(keys.groupBy("key").agg(F.min("u").alias("least"), F.max("u").alias("most")).where("least < most").select("key", "least"), "heads")
-    tied = keys.join(bounded(heads), "key").where("u != least").select(F.col("least").alias("u"), F.col("u").alias("v"))
-    family = save(components(tied.unionByName(listed.where("key is null").select("u", "v"))), "families")
-    drop(listed, heads)
+    listed = base.select("text").mapInArrow(tidied(_lists(plan, width, frequent)), "key long, u long, v long")
+    # every list lies in one sorted partition, where it is read through: one shuffle, which spills, whatever the number of keys
+    dealt = listed.withColumn("key", F.coalesce("key", "v")).repartition("key").sortWithinPartitions("key", "u")
+    tied = save(dealt.mapInArrow(tidied(_tied), "u long, v long"), "ties")
+    family = save(components(tied), "families")
+    drop(tied)
 
     # one row of each class brings its text to verification
     pick = each.join(family.withColumnRenamed("label", "family"), "node")

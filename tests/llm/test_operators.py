@@ -187,6 +187,23 @@ def test_long_words_and_texts_hash_alike():
     assert tn.mix(np.array([value], np.uint64))[0] == h[400_000]
 
 
+def test_lists_are_read_through_in_order(monkeypatch):
+    monkeypatch.setattr(J, "KEYS", 7)
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(k), int(u)) for k, u in zip(rng.integers(-4, 4, 60), rng.integers(-50, 50, 60), strict=True)} | {(9, u) for u in range(25)})
+    rows = [(k, u, None) for k, u in rows]
+    rows[5:5], rows[40:40] = [(rows[5][0], 70, 71)], [(rows[40][0], 72, 73)]
+    want = {(70, 71), (72, 73)}
+    for k in {r[0] for r in rows}:
+        nodes = [u for key, u, v in rows if key == k and v is None]
+        want |= {(nodes[0], u) for u in nodes[1:]}
+    for size in (1, 4, 200):
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], J._LISTED) for i in range(0, len(rows), size)]
+        got = pa.Table.from_batches(J._tied(batches))
+        assert set(zip(*(c.to_pylist() for c in got.columns), strict=True)) == want
+    assert not list(J._tied([]))
+
+
 def test_lists_lose_no_pair():
     """Any two sets that link share a key, whatever shingles count as frequent."""
     rng = np.random.default_rng(0)
