@@ -25,16 +25,33 @@ RESULTS = "url string, status string, error string, error_kind string, title str
 
 _FILE = ["path", "size", "modified"]
 
+#: What a reserved tag says.
+_STUBS = {"unreachable": "Pages that didn't load", "failed": "Pages that loaded and couldn't be summarized"}
+
+
+def stubbed(rows: DataFrame) -> DataFrame:
+    """Rows with (url, browser_title, page_title, status, error, error_kind): those that aren't done get a title, that of the link before the page's own before the address, and a sentence with the cause."""
+    missed = F.col("status") != "done"
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    saved, own = given("browser_title"), given("page_title")
+    what = F.when(F.col("status") == "unreachable", "loaded").otherwise("summarized")
+    whence = F.when(saved.isNotNull(), "was saved with the link").when(own.isNotNull(), "is the page's own").otherwise("is its address")
+    cause = F.coalesce(given("error"), F.replace("error_kind", F.lit("_"), F.lit(" ")), F.lit("cause unknown"))
+    sentence = F.concat(F.lit("No summary: this page couldn't be "), what, F.lit(" ("), cause, F.lit("). The title "), whence, F.lit("."))
+    title = F.coalesce(saved, own, F.regexp_replace("url", "^[^:/]+://", ""))
+    either = lambda stub, c: F.when(missed, stub).otherwise(F.col(c))
+    return rows.withColumns({"title": either(title, "title"), "summary": either(sentence, "summary"), "page_title": either(F.coalesce(saved, own), "page_title")})
+
 
 def save_batch(state: State, rows: DataFrame, name: str, max_per_page: int = 5, max_new: int = 3, files: DataFrame | None = None) -> None:
     """Commits a batch, and the ``files`` that it came from, of RESULTS rows for known pages; several rows of a url count as one, the last by title and summary.
 
-    Pages that couldn't be read or summarised get one reserved tag that tells so.
+    Pages that couldn't be read or summarised get one reserved tag that tells so, a title and a sentence (:func:`stubbed`).
     """
-    pages = state.table("pages").select("id", "url")
+    pages = state.table("pages").select("id", "url", "browser_title")
     stub = F.when(F.col("status") == "done", F.col("tags")).otherwise(F.array(F.concat(F.lit(T.RESERVED), "status")))
     one = rows.groupBy("url").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "url")), F.struct("status", "title", "summary")).alias("r")).select("url", "r.*")
-    rows = one.join(pages, "url").withColumn("tags", stub)
+    rows = stubbed(one.join(pages, "url")).withColumn("tags", stub).drop("browser_title")
     folder = state.root + "/incoming/" + name
     rows.write.mode("overwrite").parquet(folder)  # read several times below
     rows = state.spark.read.parquet(folder)
@@ -49,7 +66,7 @@ def save_batch(state: State, rows: DataFrame, name: str, max_per_page: int = 5,
             tag = T.RESERVED + r["status"]
             if tag not in ids:
                 ids[tag], got.next_id = got.next_id, got.next_id + 1
-                got.tags.append((ids[tag], tag, None))
+                got.tags.append((ids[tag], tag, _STUBS.get(r["status"])))
             got.links.append((r["id"], tag, ids[tag]))
     spark, now = state.spark, F.current_timestamp()
     links = spark.createDataFrame(got.links, "page_id long, raw_tag string, resolved_tag_id long")

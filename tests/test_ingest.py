@@ -2,7 +2,7 @@ import json
 
 from loomtide.operators.resolution import resolve
 from loomtide.sources.state import State
-from loomtide.streaming.ingest import ingest_results, ingest_urls
+from loomtide.streaming.ingest import ingest_results, ingest_urls, stubbed
 
 
 def test_fold_limits_and_spellings():
@@ -68,3 +68,19 @@ def test_old_batch_names_are_not_forgotten(spark, tmp_path):
     state.commit(batch="first", next_id={"tags": 9})
     state.commit(batch="b500", next_id={"tags": 9})
     assert state.next_id("tags") == 7
+
+
+def test_pages_without_content_get_a_title_and_a_cause(spark):
+    rows = [
+        ("http://a/b", " Saved ", "Own", "unreachable", "HTTP 500", "http_error", None, None),
+        ("http://a/b", " ", "Own", "failed", None, "invalid_reply", "t", "s"),
+        ("http://a/b?c", None, None, "failed", "", None, None, None),
+        ("http://a/b", "Saved", "Own", "done", None, None, "t", "s"),
+    ]
+    df = spark.createDataFrame(rows, "url string, browser_title string, page_title string, status string, error string, error_kind string, title string, summary string")
+    assert [tuple(r) for r in stubbed(df).select("title", "page_title", "summary").collect()] == [
+        ("Saved", "Saved", "No summary: this page couldn't be loaded (HTTP 500). The title was saved with the link."),
+        ("Own", "Own", "No summary: this page couldn't be summarized (invalid reply). The title is the page's own."),
+        ("a/b?c", None, "No summary: this page couldn't be summarized (cause unknown). The title is its address."),
+        ("t", "Own", "s"),
+    ]
