@@ -374,7 +374,9 @@ def _tree(state: State, chat: P.Chat, config: Config, taxonomy: Taxonomy | None,
 
     def ask(kind: str, batch: list[str], context: dict) -> dict:
         rules = taxonomy.rules_text() + "\n" if taxonomy else ""
-        tops = "Categories: " + ", ".join(context["categories"]) + "\n"
+        categories = context["categories"]
+        tops = "Categories: " + PL.shown(categories, PL.MOST_SHOWN if kind == "branch" else len(categories)) + "\n"
+        tops += "Never a category: " + ", ".join(context["blocked"]) + "\n" if context.get("blocked") else ""
         head = "Name the top-level category of every tag." if kind == "domains" else f"Give every tag its path below {context['domain']}, most general name first; an empty path puts it right there."
         return _ask(chat, head, rules + tops + _numbered(batch), kind, used)
 

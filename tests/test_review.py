@@ -94,3 +94,11 @@ def test_placement():
     text = PL.describe([("x", ["n"]), ("y", ["n"]), ("z", [])], set())
     assert [d["description"] for d in text] == ["place  (top level) ← z", "place  n ← x, y (new: n)"]
     assert PL.chain(np.array([[1, 0], [0, 1], [0.9, 0.1], [0.1, 0.9]])) == [0, 2, 3, 1]
+
+
+def test_categories_in_prompts():
+    assert PL.shown([]) == "(none yet)" and PL.shown(["a", "b"]) == "a, b" and PL.shown(list("abcd"), 2) == "a, b (and 2 more)"
+    seen = []
+    model = PL.Model(parents={"zinc": None, "ores": None, "iron": "ores"}, canonical={}, locked={"kiln"}, unplaced={"kiln", "glaze", "clay"}, decided={PL.place_key("clay", [])}, taxonomy=None)
+    PL.place(["glaze"], model, lambda kind, batch, context: seen.append((kind, context)) or {})
+    assert seen[0] == ("domains", {"categories": ["ores", "zinc"], "blocked": ["clay", "kiln"]})
