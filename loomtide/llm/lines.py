@@ -148,11 +148,12 @@ def remove_repeats(docs: DataFrame, unit: str = "line", window: int = 1, min_wor
     found = save(base.select("k", "digest", "text").mapInArrow(tidied(_occurrences(unit, window)), _UNITS), "units")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("k", "digest", "place")).alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1")
     first = save(first, "first")  # written, so that the occurrences of a common unit can be split in the join
+    # Both joins are planned alike at every size: what they join grows with the corpus.
     same = (F.col("k") == F.col("head.k")) & (F.col("digest") == F.col("head.digest"))
-    later = found.join(first, ["h1", "h2"]).where(~(same & (F.col("place") == F.col("head.place"))))
+    later = found.join(first.hint("merge"), ["h1", "h2"]).where(~(same & (F.col("place") == F.col("head.place"))))
     start = F.when(same, F.greatest("place", F.col("head.place") + window)).otherwise(F.col("place"))
     later = later.select("k", "digest", "place", start.alias("start")).distinct()
     places = save(later.groupBy("k", "digest").agg(F.collect_list(F.struct("place", "start")).alias("later")), "places")  # of one text
-    out = base.join(places, ["k", "digest"], "left").select("doc_id", "text", "later")
+    out = base.join(places.hint("merge"), ["k", "digest"], "left").select("doc_id", "text", "later")
     drop(found, first)
     return out.mapInArrow(tidied(_without(unit, window, min_words, min_unit)), "doc_id long, n_repeats long, n_spans long, removed_chars long, spans array<struct<first:int,end:int>>, text string")
