@@ -2,7 +2,7 @@
 
 Pages are taken in steps of bounded size.  A step fetches, reads, summarises,
 resolves and commits its pages as sets, and sees the tags of the steps before
-it.  Answers of servers are written before they are used twice.  What the driver
+it; the first pages of a run (``run.sequential_start``) are a step each.  Answers of servers are written before they are used twice.  What the driver
 holds is a step's outcomes, the tags under review, and sums.
 """
 
@@ -55,10 +55,11 @@ class Services:
 
 @dataclass
 class Outcome:
-    """What a run did: its sums, why it stopped, the report's id, and lines to show."""
+    """What a run did: its sums, why it stopped (``fatal`` unless a limit was reached), the report's id, and lines to show."""
 
     used: dict = field(default_factory=dict)
     stop: str | None = None
+    fatal: bool = False
     report_id: int | None = None
     lines: list = field(default_factory=list)
 
@@ -170,7 +171,7 @@ def fill_vectors(state: State, embedder: P.Embedder, config: Config, name: str)
     return failed, first
 
 
-def dry_run(spark: SparkSession, root: str, path: str | None, config: Config | None = None, allow: list[str] = (), deny: list[str] = (), limit: int | None = None) -> dict:
+def dry_run(spark: SparkSession, root: str, path: str | None, config: Config | None = None, allow: list[str] = (), deny: list[str] = (), limit: int | None = None, retry: bool = False) -> dict:
     """What a run would take, without writing: lines by outcome, pages to process, and tokens and dollars for them."""
     config = config or Config()
     allow, deny = config.rules(allow, deny)
@@ -180,7 +181,7 @@ def dry_run(spark: SparkSession, root: str, path: str | None, config: Config | N
         state = None
     known = state.table("pages") if state else spark.createDataFrame([], "url string, status string")
     outcomes = {r["outcome"]: r["count"] for r in classify(read_url_list(spark, path), known.select("url", "status"), allow, deny).groupBy("outcome").count().collect()} if path else {}
-    waiting = known.where(F.col("status") == "pending")
+    waiting = known.where(F.col("status").isin("pending", *(["failed", "unreachable"] if retry else [])))
     taken = waiting.where(U.allowed(F.col("url"), allow, deny)).count()
     pages = outcomes.get("new", 0) + taken
     pages = pages if limit is None else min(pages, limit)
@@ -222,6 +223,7 @@ def run(
         if not most:
             out.stop = "the token limit was reached" if max_tokens is not None and tokens >= max_tokens else "the cost limit was reached"
             break
+        most = 1 if taken < config.run.sequential_start else most  # so that the first pages see each other's tags
         most = most if limit is None else min(most, limit - taken)
         pages = state.pending().where(U.allowed(F.col("url"), allow, deny)).limit(most).select("id", "url", "browser_title")
         n = pages.count()
@@ -230,6 +232,7 @@ def run(
         name = f"run-{state.manifest['version']}"
         sums, failures, out.stop = take_step(state, services, config, pages, name, language, failures)
         taken += n
+        out.fatal = out.stop is not None
         for k, v in sums.items():
             out.used[k] += v
         show(f"{taken} pages: {out.used['done']} done, {out.used['unread']} not read, {out.used['asked'] - out.used['done']} failed")
@@ -248,9 +251,8 @@ def finish(state: State, out: Outcome, began: dt.datetime, folder: str | None, c
     record = report.build(state, out.used, began)
     out.report_id = report.save(state, record, began, ended)
     if folder:
-        left = notes.render(state, os.path.join(folder, "notes"), config.notes.title).where("NOT written").count()
-        write_tag_list(state, folder)
-        write_index(state, folder)
+        left = write_all(state, folder, config)
+        write_report(state, folder, record)
         if left:
             out.lines.append(f"{left} files aren't notes and were left alone")
     causes = report.causes(record["failures"])
@@ -259,9 +261,35 @@ def finish(state: State, out: Outcome, began: dt.datetime, folder: str | None, c
     return out
 
 
+def write_all(state: State, folder: str, config: Config) -> int:
+    """Writes the notes, ``_tags.md`` and ``_index.md``; how many files weren't notes and stay."""
+    left = notes.render(state, os.path.join(folder, "notes"), config.notes.title).where("NOT written").count()
+    write_tag_list(state, folder)
+    write_index(state, folder)
+    return left
+
+
+def write_report(state: State, folder: str, record: dict) -> str:
+    """Writes ``_report.md``; pages without content pass through the driver one partition at a time."""
+    path = os.path.join(folder, "_report.md")
+    with open(path + ".part", "w", encoding="utf-8") as f:
+        f.writelines(report.markdown(record, ((r["url"], r["error_kind"], r["error"]) for r in state.failed_pages().toLocalIterator())))
+    os.replace(path + ".part", path)
+    return path
+
+
+def _topics(state: State) -> DataFrame:
+    return count_tree(state.table("tags").where(~F.col("name").startswith(T.RESERVED)).select("id", "parent_id", "name"), state.links())
+
+
+def tag_table(state: State):
+    """Lines of the terminal's tag table, one partition at a time."""
+    return (r["line"] for r in notes.tag_table(_topics(state)).toLocalIterator())
+
+
 def write_tag_list(state: State, folder: str) -> str:
     """Writes ``_tags.md``; its lines, one a tag, pass through the driver one partition at a time."""
-    tree = count_tree(state.table("tags").where(~F.col("name").startswith(T.RESERVED)).select("id", "parent_id", "name"), state.links())
+    tree = _topics(state)
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, "_tags.md")
     with open(path + ".part", "w", encoding="utf-8") as f:
@@ -274,7 +302,7 @@ def write_tag_list(state: State, folder: str) -> str:
 def write_index(state: State, folder: str) -> str:
     """Writes ``_index.md``: every page with a note once, under the top of its main tag's path; lines pass through the driver one partition at a time."""
     links = state.links()
-    tree = count_tree(state.table("tags").where(~F.col("name").startswith(T.RESERVED)).select("id", "parent_id", "name"), links).select("id", "path", "total")
+    tree = _topics(state).select("id", "path", "total")
     main = links.join(tree, "id").groupBy(F.col("page_id").alias("id")).agg(F.min_by(F.substring_index("path", "/", 1), F.struct(-F.col("total"), "path")).alias("section"))
     pages = state.note_pages().where("note_file IS NOT NULL").join(main, "id", "left").withColumn("section", F.coalesce("section", F.lit("Untagged")))
     os.makedirs(folder, exist_ok=True)
@@ -427,7 +455,7 @@ def compare_trees(archives: dict[str, State]) -> DataFrame:
     """(archive, pages, tags_per_page, tags, used_once, average_depth, depth_one, deepest, roots) of the done pages of archives."""
     out = None
     for name, state in archives.items():
-        tree = count_tree(state.table("tags").where(~F.col("name").startswith(T.RESERVED)).select("id", "parent_id", "name"), state.links()).select("id", "path", "depth")
+        tree = _topics(state).select("id", "path", "depth")
         done = state.table("pages").where("status = 'done'").select(F.col("id").alias("page_id"))
         links = state.links().join(done, "page_id", "left_semi").join(tree, "id")
         per = links.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("tags"), F.count_if(F.col("n") == 1).alias("used_once"))

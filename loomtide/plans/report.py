@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import functions as F
 
@@ -105,10 +106,11 @@ def text(report: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
-def markdown(report: dict, failed: list[tuple[str, str, str]]) -> str:
-    """The text with the list of (url, kind, error) of failed pages."""
-    out = "# Report\n\n```\n" + text(report) + "```\n"
-    return out + ("\n## Pages without content\n\n" + "".join(f"- <{u}>: {k.replace('_', ' ')}{f' ({e})' if e else ''}\n" for u, k, e in failed) if failed else "")
+def markdown(report: dict, failed: Iterable[tuple[str, str, str]]) -> Iterator[str]:
+    """Parts of the file: the text, then the list of (url, kind, error) of failed pages."""
+    yield "# Report\n\n```\n" + text(report) + "```\n"
+    for n, (url, kind, error) in enumerate(failed):
+        yield ("" if n else "\n## Pages without content\n\n") + f"- <{url}>: {kind.replace('_', ' ')}{f' ({error})' if error else ''}\n"
 
 
 def save(state: State, report: dict, started, finished) -> int:

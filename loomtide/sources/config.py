@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
@@ -195,3 +196,19 @@ def parse(text: str) -> Config:
 def load(path: str | None = None) -> Config:
     """The settings of a file that must exist, or the defaults."""
     return parse(Path(path).read_text("utf-8")) if path else Config()
+
+
+def example() -> str:
+    """A settings file that says what holds without one; settings without a default are comments."""
+    out = []
+    for table in fields(Config):
+        out.append(f"[{table.name}]")
+        section = getattr(Config(), table.name)
+        for f in fields(section):
+            value = getattr(section, f.name)
+            if value is None or isinstance(value, dict):
+                out.append(f"# {f.name} =" + (" {}" if isinstance(value, dict) else ""))
+            else:
+                out.append(f"{f.name} = {json.dumps(value)}")
+        out.append("")
+    return "\n".join(out)

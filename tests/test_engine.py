@@ -60,7 +60,7 @@ def test_run_review_and_finish(spark, tmp_path):
     assert plan["outcomes"] == {"new": 5, "duplicate": 1, "filtered": 1, "not_web": 1} and plan["pages"] == 5 and plan["input_tokens"] > 0
     shown = []
     choose = lambda proposals: shown.append([p.description for p in proposals]) or list(range(len(proposals)))
-    out = E.run(spark, root, E.Services(Web(), Model(), WordEmbedder()), path=path, folder=folder, deny=["domain:skip"], choose=choose)
+    out = E.run(spark, root, E.Services(Web(), Model(), WordEmbedder()), C.parse("[run]\nsequential_start = 1"), path=path, folder=folder, deny=["domain:skip"], choose=choose)
     assert out.stop is None and out.used["done"] == 3 and out.used["unread"] == 2 and out.used["input_tokens"] == 30
     s = State(spark, root)
     assert s.status_counts() == {"pending": 0, "done": 3, "failed": 1, "unreachable": 1}
@@ -80,7 +80,7 @@ def test_run_review_and_finish(spark, tmp_path):
 def test_stops_and_budget(spark, tmp_path):
     assert [E.room(*a) for a in ((0, 0, 0, None, 9), (0, 0, 0, 50, 9), (12, 12, 1, 50, 9), (50, 50, 4, 50, 9), (60, 12, 1, 70, 9))] == [9, 1, 4, 0, 1]
     assert E.streak([False] * 3, 2) == (5, True) and E.streak([False] * 4 + [True, False]) == (1, False)
-    services, config = E.Services(Web(), Model()), C.parse("[reconcile]\nat_end_of_run = false")
+    services, config = E.Services(Web(), Model()), C.parse("[reconcile]\nat_end_of_run = false\n[run]\nsequential_start = 0")
     path = _list(tmp_path, *(f"http://h/ok{i}" for i in range(6)))
     out = E.run(spark, str(tmp_path / "b"), services, config, path, max_tokens=30)
     assert out.stop == "the token limit was reached" and out.used["done"] == 3

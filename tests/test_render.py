@@ -52,7 +52,7 @@ def test_report(spark, tmp_path):
     assert "Run of 1h 2m" in text and "unreachable            1   1 not found" in text and "12.3k in, 20.0k out" in text
     now = datetime.datetime(2024, 1, 1)
     assert RP.save(s, r, now, now) == 1 and RP.save(s, {"run": {}}, now, now) == 2 and json.loads(s.latest_report()) == {"run": {}}
-    assert "- <http://www.g/3>: not found" in RP.markdown(r, [tuple(x)[:1] + (x["error_kind"], x["error"]) for x in s.failed_pages().collect()])
+    assert "- <http://www.g/3>: not found" in "".join(RP.markdown(r, [tuple(x)[:1] + (x["error_kind"], x["error"]) for x in s.failed_pages().collect()]))
     assert RP.estimate(None) == (2750.0, 250.0) and RP.estimate(r) == (1234.5, 2000.0)
     assert RP.cost({"input_tokens": 1_000_000}, (2.0, 3.0)) == 2.0 and RP.cost({}, None) is None
 
