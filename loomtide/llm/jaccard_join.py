@@ -14,10 +14,16 @@ Documents with equal shingle sets form one class; classes are joined.
   lists only those; any other lists all its pieces over all shingles as well.
 * The boundary is the largest size whose subsets cost no more than its lists.
 
-A list's members are tied to its least member, first within a batch of
-documents, then over all batches: a list of n members gives n - 1 ties, not
-n * n pairs.  Tied families are verified in blocks on their whole shingle sets;
-the counts of direct links need all pairs of a family's blocks, which travel compressed.
+A list of at most PAIRED members gives all its pairs.  The members of a longer
+one are tied to its least member, first within a batch of documents, then over
+all batches: n members give n - 1 ties, not n * n pairs, and the sets that are
+tied, by whatever chain, are paired in blocks.  Each pair is first tried on the
+parities of its sets: one bit for each of about as many buckets as a set has
+shingles.  Buckets of unlike parity are no more than shingles that differ, so no
+link is lost, and sets that share little more than a piece go, before chains of
+them grow with the corpus.  What stays ties families, which are verified in
+blocks on their whole shingle sets; the counts of direct links need all pairs of
+a family's blocks, which travel compressed.
 """
 
 from __future__ import annotations
@@ -40,6 +46,9 @@ BLOCK_SHINGLES = 1 << 20  # shingles that a block holds on average, or those of
 #: Shingles count as frequent from this many sets on, as counted in runs of so many shingles; at most so many are told to the tasks.
 FREQUENT, RUN, MAX_FREQUENT = 64, 2_000_000, 200_000
 KEYS = 1_000_000  # list keys that a task combines before it hands them on
+PAIRED = 32  # members of a list up to which all its pairs are told
+SORTED = 100_000  # rows of lists that are read through at once
+PARITY_BYTES = 1 << 22  # parities that are compared at once
 
 
 def subset_depth(size: int, num: int, den: int) -> int:
@@ -170,15 +179,60 @@ def list_keys(tokens: np.ndarray, sizes: np.ndarray, plan: Plan, frequent: np.nd
     return np.concatenate(keys), np.concatenate(rows_out)
 
 
-def ties(keys: np.ndarray, nodes: np.ndarray):
-    """Least node of each key, and (least, other) for every further node of a key."""
-    order = np.argsort(keys)
+def parities(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of each set's parities: a bit for each bucket, of which there are the power of two that holds the size, 64 at least."""
+    width = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64), 0)
+    stop = np.cumsum(width)
+    bucket = (tn.mix(tokens ^ U(0x3C6EF372FE94F82B)) & np.repeat((np.maximum(width, 1) - 1).astype(U), sizes)).astype(np.int64)
+    odd = np.bincount(bucket + np.repeat(stop - width, sizes), minlength=int(width.sum())) & 1
+    return np.packbits(odd.astype(bool), bitorder="little"), np.concatenate([[0], stop]) // 8
+
+
+def alike(data: np.ndarray, first: np.ndarray, wide: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs of sets (i, j) may link, by sizes and parities (of which ``data`` has ``wide`` bytes from ``first`` on); none that links is left out."""
+    ok = np.minimum(sizes[i], sizes[j]) * den >= np.maximum(sizes[i], sizes[j]) * num
+    swap = wide[i] > wide[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    kind = wide[i] << 32 | wide[j]
+    for k in np.unique(kind[ok]):
+        few, many = int(k) >> 32, int(k) & 0xFFFFFFFF
+        if few == 0:
+            continue
+        rows, step = np.flatnonzero(ok & (kind == k)), max(1, PARITY_BYTES // many)
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            a = data[first[i[r], None] + np.arange(few)].view(U)
+            b = data[first[j[r], None] + np.arange(many)].view(U)
+            # half as many buckets: each bucket holds what two did
+            b = np.bitwise_xor.reduce(b.reshape(len(r), many // few, few // 8), axis=1)
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            ok[r] = differ * (den + num) <= (sizes[i[r]] + sizes[j[r]]) * (den - num)
+    return ok
+
+
+def _binary(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, off, data = column.cast(pa.large_binary()).buffers()
+    off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), off
+
+
+def _sorted(keys: np.ndarray, nodes: np.ndarray):
+    """Distinct (key, node) in order, each one's place in its key, and the place where its key begins."""
+    order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(nodes, start) if len(start) else nodes
-    spread = np.repeat(least, np.diff(np.append(start, len(keys))))
-    other = spread != nodes
-    return keys[start], least, spread[other], nodes[other], np.searchsorted(start, np.flatnonzero(other), side="right") - 1
+    head = np.repeat(start, np.diff(np.append(start, len(keys))))
+    return keys, nodes, np.arange(len(keys)) - head, head
+
+
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, v, _, _ = _sorted(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+    return u, v
 
 
 def _count(run: list[np.ndarray], least: int = 8) -> pa.RecordBatch:
@@ -186,14 +240,14 @@ def _count(run: list[np.ndarray], least: int = 8) -> pa.RecordBatch:
     tok, c = np.unique(np.concatenate(run), return_counts=True)
     tok, c = tok[c >= least], c[c >= least]
     none = pa.nulls(len(tok), pa.int64())
-    return pa.record_batch([none, none, pa.array(c.astype(np.int64)), pa.array(tok.view(np.int64)), pa.array(np.ones(len(tok), bool))], _SETS)
+    return pa.record_batch([none, none, pa.array(c.astype(np.int64)), pa.array(tok.view(np.int64)), pa.array(np.ones(len(tok), bool)), pa.nulls(len(tok), pa.binary())], _SETS)
 
 
-_SETS = ["doc_id", "digest", "size", "node", "frequent"]
+_SETS = ["doc_id", "digest", "size", "node", "frequent", "bits"]
 
 
 def _read(width: int):
-    """Over batches of (doc_id, digest, text): set id and size of each row, and counts of frequent shingles."""
+    """Over batches of (doc_id, digest, text): set id, size and parities of each row, and counts of frequent shingles."""
 
     def rows(batches):
         run, held = [], 0
@@ -205,7 +259,9 @@ def _read(width: int):
                 seen[np.unique(ids, return_index=True)[1]] = True
                 run.append(tok[np.repeat(seen, n)])
                 held += len(run[-1])
-                yield pa.record_batch([b.column(0).slice(at, rows_in), b.column(1).slice(at, rows_in), pa.array(n), pa.array(ids.view(np.int64)), pa.array(np.zeros(len(n), bool))], _SETS)
+                bits, at_bit = parities(tok, n)
+                bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at_bit.astype(np.int32)), pa.py_buffer(bits)])
+                yield pa.record_batch([b.column(0).slice(at, rows_in), b.column(1).slice(at, rows_in), pa.array(n), pa.array(ids.view(np.int64)), pa.array(np.zeros(len(n), bool)), bits], _SETS)
                 if held >= RUN:
                     yield _count(run)
                     run, held = [], 0
@@ -216,14 +272,18 @@ def _read(width: int):
 
 
 def _lists(plan: Plan, width: int, frequent):
-    """Over batches of (text): rows (key, least node, null) of each run's lists, and rows (null, least, other) of ties within it."""
+    """Over batches of (text): rows (key, node, null) of each run's lists, and rows (null, least, other) of ties within it.
+
+    Of a list, a run hands on the least members: so many that the whole list is told as a long one if they are not all.
+    """
 
     def told(keys, nodes):
-        key, least, u, v, _ = ties(np.concatenate(keys), np.concatenate(nodes))
-        pair = np.unique(np.stack([u, v]), axis=1)
+        key, node, place, head = _sorted(np.concatenate(keys), np.concatenate(nodes))
+        few = place <= PAIRED
+        u, v = _distinct([(node[head[~few]], node[~few])])
         return [
-            pa.record_batch([pa.array(key.view(np.int64)), pa.array(least), pa.nulls(len(key), pa.int64())], _LISTED),
-            pa.record_batch([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1])], _LISTED),
+            pa.record_batch([pa.array(key[few].view(np.int64)), pa.array(node[few]), pa.nulls(int(few.sum()), pa.int64())], _LISTED),
+            pa.record_batch([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], _LISTED),
         ]
 
     def lists(batches):
@@ -251,38 +311,82 @@ def _lists(plan: Plan, width: int, frequent):
 _LISTED = ["key", "u", "v"]
 
 
-def _tied(batches):
-    """Over rows of :func:`_lists` sorted by key and node, with any key for ties: each list's least node with its others, and the ties.
+def _tied(batches, paired: int = 1):
+    """Over rows of :func:`_lists` sorted by key, with any key for ties: each list's least node with its others, and the ties.
 
-    Only the last key and its least node are kept from batch to batch, so that a list may have any length.
+    A list of at most ``paired`` members gives all its pairs instead, the larger node first.  Only the least members of
+    the last key are kept from batch to batch, so that a list may have any length.
     """
-    at, least, pairs, held = None, None, [], 0
+    key, node, rows, found, held = [], [], 0, [], 0
 
     def told():
-        pair = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+        u, v = _distinct(found)
+        return pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def read(last):
+        """Tells the lists that ended; the least members of the one that may go on are kept."""
+        k, u, place, head = _sorted(np.concatenate(key), np.concatenate(node))
+        n = np.bincount(head, minlength=len(k))[head]
+        ended = last | (k != k[-1:]) | (place > paired)
+        others = np.flatnonzero(ended & (n > paired) & (place > 0))
+        found.append((u[head[others]], u[others]))
+        short = np.flatnonzero(ended & (n <= paired))
+        for d in range(1, paired):
+            short = short[place[short] + d < n[short]]
+            found.append((u[short + d], u[short]))
+        return [k[~ended]], [u[~ended]]
 
     for b in batches:
-        key, u, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy()
         tie = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-        pairs.append(np.stack([u[tie], v[tie]]))
-        key, u = key[~tie], u[~tie]
-        if len(key):
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            low = u[start]
-            if at is not None and key[0] == at:
-                low[0] = least
-            spread = np.repeat(low, np.diff(np.append(start, len(key))))
-            pairs.append(np.stack([spread, u])[:, spread != u])
-            at, least = key[-1], low[-1]
-        held += b.num_rows
-        if held >= KEYS:
+        k, u, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy()
+        found.append((u[tie], v[tie]))
+        key.append(k[~tie])
+        node.append(u[~tie])
+        rows += b.num_rows
+        if rows >= SORTED:
+            (key, node), held, rows = read(False), held + rows, 0
+        if held + sum(len(u) for u, _ in found) >= KEYS:
             yield told()
-            pairs, held = [], 0
-    if held:
+            found, held = [], 0
+    if key:
+        read(True)
         yield told()
 
 
+def _sieve(num: int, den: int):
+    """Over batches of (u, v, size, bits, other_size, other_bits): the pairs (u, v) that may link."""
+
+    def rows(batches):
+        for b in batches:
+            (x, at), (y, to) = _binary(b.column(3)), _binary(b.column(5))
+            n = b.num_rows
+            sizes = np.concatenate([b.column(2).to_numpy(), b.column(4).to_numpy()])
+            first, wide = np.concatenate([at[:-1], to[:-1] + len(x)]), np.concatenate([np.diff(at), np.diff(to)])
+            keep = alike(np.concatenate([x, y]), first, wide, sizes, np.arange(n), np.arange(n) + n, num, den)
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    return rows
+
+
+def _sieved(num: int, den: int):
+    """Ties of the sets of two blocks of a family that may link, or of one block."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, block, sizes = (table.column(c).to_numpy() for c in ("node", "block", "size"))
+        data, off = _binary(table.column("bits"))
+        link = np.zeros((len(node), len(node)), bool)
+        one = bool((block == block[0]).all())
+        for i in range(len(node)):
+            j = np.arange(i + 1, len(node))
+            j = j if one else j[block[j] != block[i]]
+            link[i, j] = alike(data, off[:-1], np.diff(off), sizes, np.full(len(j), i), j, num, den)
+        label = _labels(link | link.T)
+        other = label != np.arange(len(node))
+        return pa.table({"u": node[label[other]], "v": node[other]})
+
+    return verify
+
+
 def link_matrix(tokens: list[np.ndarray], num: int, den: int, cut: int | None = None) -> np.ndarray:
     """Which of these sets link with which; with ``cut``, only those before it with those from it on."""
     n = len(tokens)
@@ -391,6 +495,34 @@ def _between(num: int, den: int):
     return verify
 
 
+def _dealt(members: DataFrame, total: DataFrame) -> DataFrame:
+    """The members of families with their block and the number of blocks."""
+    rows = F.least(F.greatest(F.col("members") / F.lit(BLOCK), F.lit(BLOCK)), F.lit(MOST))
+    blocks = F.greatest(F.ceil(F.col("members") / rows), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    side = members.join(bounded(total), "family").withColumn("blocks", blocks)
+    return side.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _near(tied: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of sets that may link: of the pairs of short lists those that pass the parities, and ties of those of long lists that do."""
+    pairs = tied.where("u > v").distinct()
+    pairs = pairs.join(parity.withColumnRenamed("node", "u").hint("merge"), "u")
+    pairs = pairs.join(parity.select(F.col("node").alias("v"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits")).hint("merge"), "v")
+    pairs = pairs.select("u", "v", "size", "bits", "other_size", "other_bits").mapInArrow(tidied(_sieve(num, den)), "u long, v long")
+    long = tied.where("u < v")
+    if long.isEmpty():
+        return save(pairs, "near")
+    family = save(components(long), "chains")
+    members = save(family.withColumnRenamed("label", "family").join(parity, "node"), "chained")
+    total = save(members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.lit(0).alias("shingles")), "chains")
+    side = _dealt(members, total).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = side.select("family", F.least("block", "mate").alias("bi"), F.greatest("block", "mate").alias("bj"), "node", "block", "size", "bits")
+    chained = side.groupBy("family", "bi", "bj").applyInArrow(_sieved(num, den), "u long, v long")
+    near = save(pairs.unionByName(chained), "near")
+    drop(family, members, total)
+    return near
+
+
 def text_digest(text):
     return F.xxhash64(F.lit(7), text)
 
@@ -417,10 +549,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     plan = Plan(num, den)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), text)
-    read = save(base.mapInArrow(tidied(_read(width)), "doc_id long, digest long, size long, node long, frequent boolean"), "sets")
-    sets = read.where("not frequent").drop("frequent")
+    read = save(base.mapInArrow(tidied(_read(width)), "doc_id long, digest long, size long, node long, frequent boolean, bits binary"), "sets")
+    sets = read.where("not frequent").select("doc_id", "digest", "size", "node", "bits")
     # the classes, aggregated before their shuffle: a class of many copies is one row from each task
-    each = sets.where("size > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "digest")).alias("row"), F.min("doc_id").alias("low"), F.max("size").alias("size"))
+    each = sets.where("size > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "digest")).alias("row"), F.min("doc_id").alias("low"), F.max("size").alias("size"), F.first("bits").alias("bits"))
     each = save(each, "each")
     counts = read.where("frequent").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= FREQUENT)
     told = counts.orderBy(F.desc("n"), "node").limit(MAX_FREQUENT).select("node").toPandas()["node"].to_numpy()
@@ -429,20 +561,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     listed = base.select("text").mapInArrow(tidied(_lists(plan, width, frequent)), "key long, u long, v long")
     # every list lies in one sorted partition, where it is read through: one shuffle, which spills, whatever the number of keys
     dealt = listed.withColumn("key", F.coalesce("key", "v")).repartition("key").sortWithinPartitions("key", "u")
-    tied = save(dealt.mapInArrow(tidied(_tied), "u long, v long"), "ties")
-    family = save(components(tied), "families")
+    tied = save(dealt.mapInArrow(tidied(lambda batches: _tied(batches, PAIRED)), "u long, v long"), "ties")
+    parity = each.select("node", "size", "bits")
+    near = _near(tied, parity, num, den)
     drop(tied)
+    family = save(components(near), "families")
+    drop(near)
 
     # one row of each class brings its text to verification
     pick = each.join(family.withColumnRenamed("label", "family"), "node")
     pick = save(pick.select("node", "family", "copies", "row", "size"), "members")
     drop(family)
     total = save(pick.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles")), "totals")
-    rows = F.least(F.greatest(F.col("members") / F.lit(BLOCK), F.lit(BLOCK)), F.lit(MOST))
-    blocks = F.greatest(F.ceil(F.col("members") / rows), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
-    side = pick.join(bounded(total), "family").withColumn("blocks", blocks)
-    side = side.select("row.doc_id", "row.digest", "node", "copies", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    side = bounded(side)
+    side = bounded(_dealt(pick, total).select("row.doc_id", "row.digest", "node", "copies", "family", "block", "blocks"))
     cond = base["doc_id"].eqNullSafe(side["doc_id"]) & (base["digest"] == side["digest"])
     texts = base.join(side, cond).select("node", "copies", "family", "block", "blocks", "text")
 

@@ -455,3 +455,66 @@ def test_near_stage_keys_rows_by_id_and_text(spark):
     docs = table(spark, rows)
     got = corpus_pipeline.near(spark, docs, None).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted((rows[k] for k in (0, 2, 4, 5, 6)), key=str)
+
+
+def test_pairs_of_short_lists_and_ties_of_long_ones(monkeypatch):
+    """Whatever the batches, a list of at most so many members gives all pairs, the larger node first, and a longer one its ties."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(k), int(u)) for k, u in zip(rng.integers(-9, 9, 70), rng.integers(-50, 50, 70), strict=True)} | {(20, u) for u in range(40)})
+    want = set()
+    for k in {r[0] for r in rows}:
+        nodes = sorted(u for key, u in rows if key == k)
+        want |= {(v, u) for u in nodes for v in nodes if u < v} if len(nodes) <= 4 else {(nodes[0], u) for u in nodes[1:]}
+    for length, size in ((3, 1), (7, 4), (1000, 9)):
+        monkeypatch.setattr(J, "SORTED", length)
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*((k, u, None) for k, u in rows[i : i + size]), strict=True)], J._LISTED) for i in range(0, len(rows), size)]
+        got = pa.Table.from_batches(J._tied(batches, 4))
+        assert set(zip(*(c.to_pylist() for c in got.columns), strict=True)) == want
+
+
+def test_parities_lose_no_pair():
+    """Sets that link pass, whatever their sizes; unlike sets of the same size don't."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 2, 9, 30, 63, 64, 65, 127, 128, 129, 140, 1000, 1024, 1100, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for lost in (0, 1, n // 20, n // 10, n // 5):
+            sets.append(np.unique(np.append(a[lost:], rng.integers(0, 1 << 63, lost // 2, dtype=np.uint64))))
+    sets = [a for a in sets if len(a)]
+    sizes = np.array([len(a) for a in sets])
+    data, off = J.parities(np.concatenate(sets), sizes)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    for num in (60, 80, 90):
+        links = 100 * both >= num * (sizes[i] + sizes[j] - both)
+        passed = J.alike(data, off[:-1], np.diff(off), sizes, i, j, num, 100)
+        assert passed[links].all()
+        if num > 60:
+            assert not passed[(both == 0) & (np.minimum(sizes[i], sizes[j]) >= 100)].any()
+
+
+@pytest.mark.parametrize("paired", [1, 3, 32])
+def test_sets_that_share_a_phrase_are_no_family(spark, monkeypatch, paired):
+    """Long texts that share single phrases with others are not verified, since their chains would grow with the corpus; near copies are."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(120):
+        w = [f"w{v}" for v in rng.integers(0, 1 << 30, 300)]
+        for j in range(6):  # each phrase lies in two or more texts
+            at = 10 + 45 * j
+            phrase = int(rng.integers(60))
+            w[at : at + 5] = [f"p{phrase}-{i}" for i in range(5)]
+        rows.append((2 * k, " ".join(w)))
+    rows += [(1001 + k, t + " end") for k, (_, t) in enumerate(rows[:5])]
+    sizes = {}
+
+    def kept(df, tag, save=J.save):
+        out = save(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "PAIRED", paired)
+    monkeypatch.setattr(J, "save", kept)
+    got = J.jaccard_components(table(spark, rows), 5, 80, 100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, 5, 80)
+    assert sizes["members"] == 10
