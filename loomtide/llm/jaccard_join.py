@@ -45,7 +45,7 @@ BLOCK, MOST = 64, 512  # sets of a family that one verification block holds: mor
 BLOCK_SHINGLES = 1 << 20  # shingles that a block holds on average, or those of one set
 #: Shingles count as frequent from this many sets on, as counted in runs of so many shingles; at most so many are told to the tasks.
 FREQUENT, RUN, MAX_FREQUENT = 64, 2_000_000, 200_000
-KEYS = 1_000_000  # list keys that a task combines before it hands them on
+KEYS = 500_000  # list keys that a task combines before it hands them on
 PAIRED = 32  # members of a list up to which all its pairs are told
 SORTED = 100_000  # rows of lists that are read through at once
 PARITY_BYTES = 1 << 22  # parities that are compared at once
@@ -237,8 +237,16 @@ def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 def _count(run: list[np.ndarray], least: int = 8) -> pa.RecordBatch:
     """The shingles of a run that occur in several of its sets, as rows that stand for no document."""
-    tok, c = np.unique(np.concatenate(run), return_counts=True)
-    tok, c = tok[c >= least], c[c >= least]
+    tok = np.concatenate(run)
+    run.clear()
+    tok.sort()  # in place, and only the few that occur so often are copied
+    if len(tok) >= least:
+        often = np.zeros(len(tok), bool)
+        often[: len(tok) - least + 1] = tok[least - 1 :] == tok[: len(tok) - least + 1]
+        often = np.unique(tok[often])
+    else:
+        often = tok[:0]
+    tok, c = often, np.searchsorted(tok, often, side="right") - np.searchsorted(tok, often)
     none = pa.nulls(len(tok), pa.int64())
     return pa.record_batch([none, none, pa.array(c.astype(np.int64)), pa.array(tok.view(np.int64)), pa.array(np.ones(len(tok), bool)), pa.nulls(len(tok), pa.binary())], _SETS)
 
