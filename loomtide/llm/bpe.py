@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.shared import slices, tidied
+from loomtide.llm.shared import slices, tidied, worker_cache
 
 CACHE_WORDS = 80_000
 CHUNK, CHUNK_BYTES = 256, 2 << 20  # documents, and bytes of them, whose new pre-tokens are encoded in one call
@@ -120,6 +120,7 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
+@worker_cache
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec a Python worker."""
@@ -137,7 +138,7 @@ def bpe_codes(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
             yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidied(run), "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidied(run, codec), "doc_id long, ids array<int>")
 
 
 def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,4 +165,4 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         c.cache.clear()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return base.mapInArrow(tidied(run, codec), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,9 +121,10 @@ def mixture(docs: DataFrame, domain=None, share: float = SHARE, domain_weights=N
         raise ValueError(f"more than {MAX_LEAVES} leaves: group sources first")
     leaves = {tuple(r[k] for k in LEVELS): r.total for r in sums}
     goal = budgets(leaves, math.floor(share * sum(leaves.values())), weights, max_epochs)
-    plan = [(*leaf, n // leaves[leaf], n % leaves[leaf]) for leaf, n in goal.items()]
-    spark = docs.sparkSession
-    targets = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, whole long, rest long"))  # MAX_LEAVES rows at most
+    plan = [{**dict(zip(LEVELS, leaf, strict=True)), "whole": n // leaves[leaf], "rest": n % leaves[leaf]} for leaf, n in goal.items()]
+    # as an Arrow table: tuples would go through Python workers of their own, which executors keep beside the others
+    table = pa.Table.from_pylist(plan, pa.schema([*((c, pa.string()) for c in LEVELS), ("whole", pa.int64()), ("rest", pa.int64())]))
+    targets = F.broadcast(docs.sparkSession.createDataFrame(table))  # MAX_LEAVES rows at most
     keyed = rows.join(targets, list(LEVELS)).withColumn("order", F.xxhash64(F.lit(seed), F.col("whole"), F.col("digest")))
     keyed = keyed.withColumn("bucket", F.shiftrightunsigned("order", 64 - BITS))
     # the bucket in which a leaf's rest ends: first by the leading half of the bits, then within that half

@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 #: Rows up to which a side made of fixed-width keys may be broadcast; beyond it a shuffle join is planned.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows and bytes of the batches that Python workers get; a batch is held by the executor's JVM and by the worker.
 _BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+_BATCH_BYTES, SMALL_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 _swept: set[str] = set()
+_worker_caches: list = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -44,17 +47,20 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the application's shared folder and read it back: cuts lineage and survives lost executors.
 
     Python workers get small batches while it is written, so that long texts take
-    little memory; the session's setting is put back.
+    little memory; the session's settings are put back.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    if not 0 < int(before) <= SMALL_BATCH:
+    before = {k: spark.conf.get(k) for k in (_BATCH, _BATCH_BYTES)}
+    if not 0 < int(before[_BATCH]) <= SMALL_BATCH:
         spark.conf.set(_BATCH, str(SMALL_BATCH))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[_BATCH_BYTES]) > SMALL_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(SMALL_BYTES))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     if spark.sparkContext.applicationId not in _swept:
         _swept.add(spark.sparkContext.applicationId)
         atexit.register(_sweep, spark, _folder(spark))
@@ -118,12 +124,32 @@ def slices(batches, column: int, rows: int = 512, size: int = 4 << 20):
             at = end
 
 
-def tidied(run):
-    """``run`` over Arrow batches; afterwards the worker, which is used again, hands free memory back to the system."""
+def worker_cache(cached):
+    """``cached``, an lru_cache that a Python worker keeps from task to task, until it does work that uses another."""
+    _worker_caches.append(cached)
+    return cached
+
+
+def forget(but=None) -> None:
+    """Empty this worker's caches except ``but``."""
+    for cached in _worker_caches:
+        if cached is not but:
+            cached.cache_clear()
+
+
+def tidied(run, cache=None):
+    """``run`` over Arrow batches; afterwards the worker, which is used again, hands free memory back to the system.
+
+    ``cache`` is the :func:`worker_cache` that ``run`` uses; others, of work that the worker did before, are emptied.
+    """
 
     def wrapped(batches):
+        forget(cache)
         try:
-            yield from run(batches)
+            for b in run(batches):  # the JVM holds a batch as a whole, too
+                rows = max(1, b.num_rows * SMALL_BYTES // max(1, b.nbytes))
+                for at in range(0, max(1, b.num_rows), rows):
+                    yield b.slice(at, rows)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()

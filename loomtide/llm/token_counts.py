@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm.bpe import byte_chars
-from loomtide.llm.shared import slices, tidied
+from loomtide.llm.shared import slices, tidied, worker_cache
 
 END = "\n"  # ends a word; no byte character is a line feed
 CACHE_WORDS = 100_000
@@ -98,6 +98,7 @@ def read_vocabulary(path: str) -> list[str]:
     return [p.removesuffix(suffix) + END if p.endswith(suffix) else p for p in spec["model"]["vocab"] if p not in special]
 
 
+@worker_cache
 @functools.lru_cache(maxsize=2)
 def word_counts(path: str) -> WordCounts:
     """One automaton a Python worker."""
@@ -139,4 +140,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.record_batch([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.mapInArrow(tidied(run), "doc_id long, n_words long, n_tokens long")
+    return base.mapInArrow(tidied(run, word_counts), "doc_id long, n_words long, n_tokens long")

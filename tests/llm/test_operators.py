@@ -15,7 +15,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from loomtide.llm import audio, mixing
+from loomtide.llm import audio, bpe, mixing, shared
 from loomtide.llm import jaccard_join as J
 from loomtide.llm.bpe import bpe_codes, bpe_roundtrip, byte_chars
 from loomtide.llm.components import components
@@ -518,3 +518,41 @@ def test_sets_that_share_a_phrase_are_no_family(spark, monkeypatch, paired):
     got = J.jaccard_components(table(spark, rows), 5, 80, 100).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=str) == brute(rows, 5, 80)
     assert sizes["members"] == 10
+
+
+def test_workers_get_small_batches_and_keep_one_cache(spark):
+    """A batch is bounded by bytes; what a worker keeps for one kind of work goes when it does other work."""
+    path, size = public_tokenizers.path("byte_bpe_50k.tiktoken"), "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes]), pa.array([bpe.codec.cache_info().currsize])], ["bytes", "codecs"])
+
+    before = spark.conf.get(size)
+    texts = spark.range(0, 100, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('many words ', 10000)").alias("text"))
+    shared.save(bpe_roundtrip(texts, path, public_tokenizers.PATTERN), "codes")
+    got = shared.save(texts.mapInArrow(shared.tidied(run), "bytes long, codecs long"), "batches").collect()
+    assert max(r.bytes for r in got) < 2 << 20 and sum(r.bytes for r in got) > 100 * 110_000
+    assert {r.codecs for r in got} == {0}
+    assert spark.conf.get(size) == before
+
+
+def test_worker_caches_by_operator():
+    first = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    list(shared.tidied(lambda batches: iter(batches), bpe.codec)([]))
+    assert bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN) is first
+    list(shared.tidied(lambda batches: iter(batches))([]))
+    assert bpe.codec.cache_info().currsize == 0
+
+
+def test_workers_hand_on_small_batches():
+    rows = pa.record_batch([pa.array(range(500_000)), pa.array(["x"] * 500_000)], ["u", "v"])
+    long, none = pa.record_batch([pa.array(["y" * 3_000_000] * 2)], ["t"]), rows.slice(0, 0)
+    got = list(shared.tidied(lambda batches: iter([rows, none]))([]))
+    assert max(b.nbytes for b in got) <= shared.SMALL_BYTES + 64 and pa.Table.from_batches(got).equals(pa.Table.from_batches([rows]))
+    assert [b.num_rows for b in shared.tidied(lambda batches: iter([long]))([])] == [1, 1]
+
+
+def test_mixing_starts_no_python_workers(spark, capsys):
+    mixing.mixture(table(spark, [(1, "a b")])).explain()
+    assert "ExistingRDD" not in capsys.readouterr().out  # the fixture's rows are one, but are written before
