@@ -238,3 +238,22 @@ def similar(left: DataFrame, right: DataFrame, threshold: float | None = None, t
 
     # pairs of partitions stand in the order of the left ones, so that a task gets all pairs of some of these
     return _crossed(a, b).coalesce(n_a if 3 * n_a >= tasks else tasks).mapInArrow(_batched(above if top is None else ranked, _FOUND), _FOUND)
+
+
+def _halved(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """Each pair of blocks of a table once, each block beside itself, too."""
+    a, _, kind = _packed(vectors, math.isqrt(6 * vectors.sparkSession.sparkContext.defaultParallelism) + 1)
+    return _crossed(a, a).where("l_no <= r_no"), kind
+
+
+def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, similarity) of vectors (id, vector) at least ``threshold`` alike, each pair once, the lesser id left."""
+    crossed, kind = _halved(vectors)
+
+    def above(batches):
+        for (no, ids, x), (other, others, y) in _blocks(batches, kind, kind):
+            later = (lambda i, j: i < j) if no == other else None
+            for i, j, sim in _alike(x, y, ids, others, lambda rows: np.full(rows.stop - rows.start, threshold), wanted=later):
+                yield np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j]), sim
+
+    return crossed.mapInArrow(_batched(above, _FOUND), _FOUND)

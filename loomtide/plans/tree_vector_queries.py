@@ -120,8 +120,7 @@ def nearest_tags_by_page(spark, sf_dir):
 
 @query(f"""SELECT a.vec_id AS a, b.vec_id AS b, {_DOT} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT} >= 0.35""")
 def similar_pairs(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return V.similar(v, v, threshold=0.35).where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "similarity")
+    return V.similar_pairs(_vectors(spark, sf_dir), 0.35).toDF("a", "b", "similarity")
 
 
 @query(f"""SELECT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM (

@@ -52,3 +52,33 @@ def test_odd_vectors(spark):
     assert V.similar(df.where("id > 9"), df, top=2).count() == 0
     with pytest.raises(Exception, match="differ in length"):
         V.similar(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], df.schema), df, top=1).collect()
+
+
+def test_pairs_come_once(spark):
+    df, sim = made(spark, 3000, 4)
+    want = sorted((int(i), int(j), sim[i, j]) for i, j in zip(*np.nonzero(sim >= 0.6)) if i < j)
+    assert sorted(tuple(r) for r in V.similar_pairs(df, 0.6).collect()) == want
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that the exchanges of a query wrote."""
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    df.collect()
+    while nodes:
+        p = nodes.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(p.plan())
+            continue
+        if p.getClass().getSimpleName() == "ShuffleExchangeExec":
+            total += p.metrics().apply("shuffleBytesWritten").value()
+        nodes += [p.children().apply(k) for k in range(p.children().size())]
+    return total
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    df, _ = made(spark, 5000, 5)
+    assert shuffled(spark, V.similar(df, df, top=5)) == 0
+    assert shuffled(spark, V.similar_pairs(df, 0.9)) == 0
