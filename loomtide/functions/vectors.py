@@ -257,3 +257,59 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
                 yield np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j]), sim
 
     return crossed.mapInArrow(_batched(above, _FOUND), _FOUND)
+
+
+class _Tied:
+    """Groups of the rows of the blocks that a task has seen; a group is known by its first row."""
+
+    def __init__(self):
+        self.at, self.ids, self.root = {}, np.empty(0, "i8"), np.empty(0, "i8")
+
+    def place(self, no: int, ids: np.ndarray) -> int:
+        if no not in self.at:
+            self.at[no] = len(self.ids)
+            self.root = np.concatenate([self.root, np.arange(len(self.ids), len(self.ids) + len(ids))])
+            self.ids = np.concatenate([self.ids, ids])
+        return self.at[no]
+
+    def tie(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+    def found(self):
+        """Each row tied to the least id of its group; rows that are tied to none are left out."""
+        least = np.full(len(self.ids), np.iinfo("i8").max)
+        np.minimum.at(least, self.root, self.ids)
+        least = least[self.root]
+        tied = self.ids != least
+        return self.ids[tied], least[tied]
+
+
+def ties(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): edges that tie the same groups as all pairs of vectors (id, vector) at least ``threshold`` alike.
+
+    A task gives one edge for each row of its partitions at most, to the least id
+    of the row's group there, however many pairs are alike.
+    """
+    crossed, kind = _halved(vectors)
+
+    def tied(batches):
+        groups = _Tied()
+        for (no, ids, x), (other, others, y) in _blocks(batches, kind, kind):
+            if len(groups.ids) > 4 * PART:
+                yield groups.found()
+                groups = _Tied()
+            p, q = groups.place(no, ids), groups.place(other, others)
+            apart = lambda i, j: groups.root[p + i] != groups.root[q + j]
+            for i, j, _ in _alike(x, y, ids, others, lambda rows: np.full(rows.stop - rows.start, threshold), wanted=apart):
+                groups.tie(p + i, q + j)
+        yield groups.found()
+
+    return crossed.mapInArrow(_batched(tied, "u long, v long"), "u long, v long")

@@ -139,8 +139,7 @@ def merge_groups(spark, sf_dir):
     """Groups of vectors tied by similarity."""
     from loomtide.operators.groups import groups
 
-    v = _vectors(spark, sf_dir)
-    return groups(V.similar(v, v, threshold=0.40).select(F.col("left_id").alias("u"), F.col("right_id").alias("v")))
+    return groups(V.ties(_vectors(spark, sf_dir), 0.40))
 
 
 @query("""SELECT label, CAST(i AS INTEGER) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtide.functions import vectors as V
+from loomtide.operators.groups import groups
 
 
 def made(spark, n, seed, width=8, kind="float"):
@@ -82,3 +83,20 @@ def test_pairs_of_blocks_are_not_shuffled(spark):
     df, _ = made(spark, 5000, 5)
     assert shuffled(spark, V.similar(df, df, top=5)) == 0
     assert shuffled(spark, V.similar_pairs(df, 0.9)) == 0
+
+
+def test_ties_are_few_and_tie_the_same_groups(spark):
+    df, sim = made(spark, 3000, 6)
+    at = 0.93
+    edges = V.ties(df, at)
+    rows = edges.collect()
+    assert len(rows) < np.count_nonzero(np.triu(sim >= at, 1)) / 4
+    label = np.arange(3000)
+    i, j = np.nonzero(np.triu(sim >= at, 1))
+    while not np.array_equal(label[i], label[j]):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+    alone = set(range(3000)) - set(i.tolist()) - set(j.tolist())
+    assert 100 < len(set(label.tolist())) and alone
+    assert {(r.node, r.merge_group) for r in groups(edges).collect()} == {(k, int(label[k])) for k in range(3000) if k not in alone}
