@@ -14,6 +14,7 @@ def groups(edges: DataFrame) -> DataFrame:
     A round takes the least label among the neighbours, then the label of that
     label, so that long chains need few rounds; it ends when no label moves.
     """
+    edges = cut(edges.select("u", "v"))  # read twice, made once
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
     while True:
